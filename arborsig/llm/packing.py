@@ -51,15 +51,16 @@ def first_fit_decreasing(sizes, capacity: int = CAPACITY) -> list[int]:
     return out
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, rows: int | None = None) -> DataFrame:
     """(key, piece, start, size, container_id): where each item, or each piece of an item beyond ``capacity``, goes.
 
     Only an item that alone exceeds the capacity is split, into full pieces and a rest; pieces are numbered from 0 and
     ``start`` is a piece's offset in its item.  Items of size 0, negative or null take no room; they get a container as
-    well.  Repeated rows are items of their own.  An empty input gives an empty result.
+    well.  Repeated rows are items of their own.  An empty input gives an empty result.  ``rows`` is the number of items,
+    if it is known; without it they are counted, for which ``items`` is worked out once more.
     """
     spark = items.sparkSession
-    groups = max(1, -(-items.count() // group_items))
+    groups = max(1, -(-(items.count() if rows is None else rows) // group_items))
     kind = items.schema[key].dataType.simpleString()
     pieces = (
         items.select(F.col(key).alias("_key"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("_n"))

@@ -5,6 +5,24 @@ from __future__ import annotations
 from ..session import table
 from .bpe import count_tokens, encode_ids
 from .packing import pack
+from .simclusters import describe_clusters, similarity_clusters
+from .vectorknn import nearest_vectors, neighbour_pairs
+
+
+def p2_found(spark, d):
+    return similarity_clusters(table(spark, d, "sigs")).select("cluster_id", "id")
+
+
+def p2_clusters(spark, d):
+    return describe_clusters(similarity_clusters(table(spark, d, "sigs")))
+
+
+def p3_found(spark, d):
+    return neighbour_pairs(nearest_vectors(table(spark, d, "svecs")))
+
+
+def p3_neighbours(spark, d):
+    return nearest_vectors(table(spark, d, "svecs"))
 
 
 def p8_ids(spark, d):
@@ -12,8 +30,9 @@ def p8_ids(spark, d):
 
 
 def p9_containers(spark, d):
-    return pack(count_tokens(table(spark, d, "documents"), "doc_id"), "doc_id", "n_tokens")
+    documents = table(spark, d, "documents")
+    return pack(count_tokens(documents, "doc_id"), "doc_id", "n_tokens", rows=documents.count())
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p8_ids": p8_ids, "p9_containers": p9_containers}
 SQL: dict[str, str] = {}
