@@ -2,13 +2,43 @@
 
 from __future__ import annotations
 
-from ..session import table
+from pyspark.sql import functions as F
+
+from ..session import durable, table
 from .bpe import count_tokens, encode_ids
+from .language import doubtful_labels, main_languages
+from .mainbody import judge_pages
 from .packing import pack
 from .simclusters import describe_clusters, similarity_clusters
+from .spam import score_pages, spam_pages
 from .vectorknn import nearest_vectors, neighbour_pairs
 
 
+def p1_found(spark, d):
+    judged = durable(judge_pages(table(spark, d, "records"), table(spark, d, "langrefs")))
+    bodies = judged.join(spam_pages(judged), "row_id", "left_anti")
+    return bodies.select("row_id", F.explode("lines").cast("bigint").alias("line_no"))
+
+
+def p4_found(spark, d):
+    judged = durable(judge_pages(table(spark, d, "records"), table(spark, d, "langrefs")))
+    return spam_pages(judged).select("row_id")
+
+
+def p4_scores(spark, d):
+    judged = durable(judge_pages(table(spark, d, "records"), table(spark, d, "langrefs")))
+    return score_pages(judged).select("row_id", "host", F.round("spam_score", 6).alias("spam_score"))
+
+
+def p7_found(spark, d):
+    return doubtful_labels(main_languages(table(spark, d, "records"), table(spark, d, "langrefs"), spam_pages))
+
+
+def p7_segments(spark, d):
+    pages = main_languages(table(spark, d, "records"), table(spark, d, "langrefs"), spam_pages)
+    return pages.select("row_id", F.col("lang").alias("page_lang"), F.round("confidence", 4).alias("page_confidence"), F.inline("segments"))
+
+
 def p2_found(spark, d):
     return similarity_clusters(table(spark, d, "sigs")).select("cluster_id", "id")
 
@@ -34,5 +64,5 @@ def p9_containers(spark, d):
     return pack(count_tokens(documents, "doc_id"), "doc_id", "n_tokens", rows=documents.count())
 
 
-QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_scores": p4_scores, "p7_found": p7_found, "p7_segments": p7_segments, "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p8_ids": p8_ids, "p9_containers": p9_containers}
 SQL: dict[str, str] = {}
