@@ -17,7 +17,7 @@ from .vectorknn import nearest_vectors, neighbour_pairs
 def p1_found(spark, d):
     judged = durable(judge_pages(table(spark, d, "records"), table(spark, d, "langrefs")))
     bodies = judged.join(spam_pages(judged), "row_id", "left_anti")
-    return bodies.select("row_id", F.explode("lines").cast("bigint").alias("line_no"))
+    return bodies.select("row_id", F.explode(F.col("lines").cast("array<bigint>")).alias("line_no"))
 
 
 def p4_found(spark, d):
