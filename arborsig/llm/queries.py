@@ -8,6 +8,7 @@ from ..session import durable, table
 from .bpe import count_tokens, encode_ids
 from .language import doubtful_labels, main_languages
 from .mainbody import judge_pages
+from .mojibake import garbled_fields, restored_fields
 from .packing import pack
 from .simclusters import describe_clusters, similarity_clusters
 from .spam import score_pages, spam_pages
@@ -30,6 +31,14 @@ def p4_scores(spark, d):
     return score_pages(judged).select("row_id", "host", F.round("spam_score", 6).alias("spam_score"))
 
 
+def p6_found(spark, d):
+    return garbled_fields(table(spark, d, "records"))
+
+
+def p6_restored(spark, d):
+    return restored_fields(table(spark, d, "records"))
+
+
 def p7_found(spark, d):
     return doubtful_labels(main_languages(table(spark, d, "records"), table(spark, d, "langrefs"), spam_pages))
 
@@ -64,5 +73,5 @@ def p9_containers(spark, d):
     return pack(count_tokens(documents, "doc_id"), "doc_id", "n_tokens", rows=documents.count())
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_scores": p4_scores, "p7_found": p7_found, "p7_segments": p7_segments, "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_scores": p4_scores, "p6_found": p6_found, "p6_restored": p6_restored, "p7_found": p7_found, "p7_segments": p7_segments, "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p8_ids": p8_ids, "p9_containers": p9_containers}
 SQL: dict[str, str] = {}
