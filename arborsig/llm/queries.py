@@ -10,6 +10,7 @@ from .language import doubtful_labels, main_languages
 from .mainbody import judge_pages
 from .mojibake import garbled_fields, restored_fields
 from .packing import pack
+from .pii import find_personal, redact_personal
 from .simclusters import describe_clusters, similarity_clusters
 from .spam import score_pages, spam_pages
 from .vectorknn import nearest_vectors, neighbour_pairs
@@ -73,5 +74,13 @@ def p9_containers(spark, d):
     return pack(count_tokens(documents, "doc_id"), "doc_id", "n_tokens", rows=documents.count())
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_scores": p4_scores, "p6_found": p6_found, "p6_restored": p6_restored, "p7_found": p7_found, "p7_segments": p7_segments, "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p8_ids": p8_ids, "p9_containers": p9_containers}
+def p10_found(spark, d):
+    return find_personal(table(spark, d, "documents"), "doc_id").select("doc_id", "pos", "kind")
+
+
+def p10_redacted(spark, d):
+    return redact_personal(table(spark, d, "documents"), "doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_scores": p4_scores, "p6_found": p6_found, "p6_restored": p6_restored, "p7_found": p7_found, "p7_segments": p7_segments, "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_redacted": p10_redacted}
 SQL: dict[str, str] = {}
