@@ -29,7 +29,7 @@ class Rule:
 #: The seven metadata fields and their formats.
 METADATA_RULES = (
     Rule("warc_trec_id", r"xc12-[0-9]{4}[a-z]{2}-[0-9]{2}-[0-9]{5}"),
-    Rule("warc_date", r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z", "yyyy-MM-dd'T'HH:mm:ss'Z'", "timestamp"),
+    Rule("warc_date", r"(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z", "yyyy-MM-dd'T'HH:mm:ss'Z'", "timestamp"),
     Rule("warc_target_uri", r"https?://[^\s\x1c-\x1f]+"),
     Rule("content_type", r"(?:[A-Za-z0-9.+-]+/[A-Za-z0-9.+-]+(?:;[\s\S]*)?)?"),
     Rule("content_length", r"[0-9]+", cast="bigint"),

@@ -579,7 +579,7 @@ _CELLS = """
      lambda x: CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END) END AS f FROM checked),
  judged AS (SELECT *, CASE WHEN line IS NULL THEN 'columns' WHEN NOT quoted THEN 'quoting' WHEN len(f) <> 7 THEN 'columns'
    WHEN regexp_matches(line, '[^\\x00-\\x7f]') OR NOT regexp_full_match(f[1], 'xc12-[0-9]{4}[a-z]{2}-[0-9]{2}-[0-9]{5}')
-     OR NOT regexp_full_match(f[2], '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z') OR try_strptime(f[2], '%Y-%m-%dT%H:%M:%SZ') IS NULL
+     OR NOT regexp_full_match(f[2], '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z') OR f[2] LIKE '0000%' OR try_strptime(f[2], '%Y-%m-%dT%H:%M:%SZ') IS NULL
      OR NOT regexp_full_match(f[3], 'https?://[^\\s\\x1c-\\x1f]+') OR NOT regexp_full_match(f[4], '([A-Za-z0-9.+-]+/[A-Za-z0-9.+-]+(;.*)?)?', 's')
      OR NOT regexp_full_match(f[5], '[0-9]+') OR NOT regexp_full_match(f[6], '[1-5][0-9]{2}') OR NOT regexp_full_match(f[7], '(sha1:[A-Z2-7]{32})?')
    THEN 'value' END AS reason FROM fields)
