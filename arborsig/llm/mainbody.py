@@ -45,12 +45,12 @@ PASSED = 0.5
 _DIGITS = re.compile(r"\d+")
 _LEAD = re.compile(r"^(\D{2,28}?)\s?:\s")
 _NAV = re.compile(r"\s[|»›>·•]\s")
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ʯͰ-῿Ⰰ-\u2fff\u3040-\ud7ff]+")
 _HOST = re.compile(r"^\w+://([^/?#:]+)")
 _GARBLED = re.compile("[ÃÂâÐÑРСÅÄ][\x80-\xbf‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ°]|[\x80-\x9f�]")
 _ADDRESS = re.compile(r"\b(?:https?://|www\.)\S+")
 _ROWS = re.compile("[|;#]")
-_END = re.compile(r"(?<=[.!?…])[\"”»“'’)\]]*\s+")
+_STOP = re.compile(r"[.!?…][\"”»“'’)\]]*\s+")
 
 
 def host_of(uri: str | None) -> str:
@@ -113,7 +113,7 @@ def parse_pages(records: DataFrame, samples: frozenset[int] = frozenset()) -> Da
     pages = spread(pages.select("row_id", m["warc-target-uri"].alias("uri"), m["content-type"].alias("type"), m["content-language"].alias("label"), "content"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, sums = Vocabulary(samples), {}
+        vocabulary, sums = Vocabulary(samples), Checksums()
         for b in batches:
             out = []
             for row_id, uri, kind, label, content in zip(b["row_id"], b["uri"], b["type"], b["label"], b["content"]):
@@ -127,15 +127,8 @@ def parse_pages(records: DataFrame, samples: frozenset[int] = frozenset()) -> Da
                 total = sum(each) or 1.0
                 nodes = [i for i in range(1, len(p.nodes)) if points[i] > 0 or p.nodes[i].children or p.nodes[i].units > 1]
                 blob = marshal.dumps(([(u.node, u.tag, u.text, u.lines, u.linked, u.hidden, u.links) for u in p.units], [(n.name, n.sig, n.parent, n.units, n.children) for n in p.nodes], fp, p.lang))
-                words = []
-                for sign, found in zip((1, -1), stretch_words(p, vocabulary)):
-                    for w in found:
-                        k = sums.get(w)
-                        if k is None:
-                            k = sums[w] = 1 + zlib.crc32(w.lower().encode("utf-8", "replace"))
-                        words.append(sign * k)
-                if len(sums) > 200_000:
-                    sums.clear()
+                yes, no = stretch_words(p, vocabulary)
+                words = [1 + k for k in set(map(sums.__getitem__, yes))] + [-1 - k for k in set(map(sums.__getitem__, no))]
                 out.append((row_id, host, label, p.title, list(own), list(own.values()), [p.nodes[i].sig for i in nodes], [points[i] / total for i in nodes], words, blob))
             yield pd.DataFrame(out, columns=["row_id", "host", "label", "title", "fps", "fsigs", "sigs", "shares", "words", "blob"])
 
@@ -204,59 +197,70 @@ def main_units(page: Page, fp: list[int], weights: dict[int, float], known: froz
     return [k for k, (u, o) in enumerate(zip(units, odd)) if inside[u.node] and not o]
 
 
-class Vocabulary:
-    """The words that sentences are made of, held as checksums of their lower-case forms."""
+class Checksums(dict):
+    """Words to the checksums of their lower-case forms."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        k = self[word] = zlib.crc32(word.lower().encode("utf-8", "replace"))
+        return k
+
+
+class Vocabulary(dict):
+    """The words that sentences are made of, given as checksums: 1 for a word among them, else 0."""
 
     def __init__(self, sums: frozenset[int]):
-        self.sums, self.seen = sums, {}
-
-    def knows(self, word: str) -> bool:
-        k = self.seen.get(word)
-        if k is None:
-            k = zlib.crc32(word.lower().encode("utf-8", "replace")) in self.sums
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            self.seen[word] = k
+        super().__init__()
+        self.sums = sums
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        k = self[word] = int(zlib.crc32(word.lower().encode("utf-8", "replace")) in self.sums)
         return k
 
+    def known(self, words) -> int:
+        return sum(map(self.__getitem__, words))
+
 
 def stretch_words(page: Page, vocabulary: Vocabulary) -> tuple[set[str], set[str]]:
     """The words of the page's stretches of text that are sentences by the words of ``vocabulary``, and of the others."""
     inside: set[str] = set()
     outside: set[str] = set()
     for u in page.units:
-        for s in _END.split(_ADDRESS.sub(" ", u.text) if "://" in u.text else u.text):
+        for s in _STOP.split(_ADDRESS.sub(" ", u.text) if "://" in u.text else u.text):
             words = _WORD.findall(s)
-            if len(words) >= 3:
+            n = len(words)
+            if n >= 3:
                 apart = set(words)
-                if len(words) >= 5 and len(apart) > 0.7 * len(words) and sum(map(vocabulary.knows, apart)) >= max(3, 0.3 * len(apart)):
+                if n >= 5 and len(apart) > 0.7 * n and vocabulary.known(apart) >= max(3, 0.3 * len(apart)):
                     inside |= apart
                 else:
                     outside |= apart
     return inside, outside
 
 
-def sentence_words(text: str, vocabulary: Vocabulary) -> tuple[int, int]:
-    """(words in sentences, words) of a unit.
+def sentence_words(text: str, vocabulary: Vocabulary) -> tuple[int, list[str]]:
+    """(words in sentences, all words) of a unit.
 
     A stretch of text counts as a sentence if enough of its words are ones that sentences are made of, or, where the
     words are garbled, if it looks like one.
     """
-    total = inside = 0
+    inside, every = 0, []
     if "://" in text or "www." in text:  # an address is as many words as it has letters' runs, none in a sentence
         for a in _ADDRESS.findall(text):
-            total += len(_WORD.findall(a))
+            every += _WORD.findall(a)
         text = _ADDRESS.sub(" ", text)
-    for s in _END.split(text):
+    for s in _STOP.split(text):
         words = _WORD.findall(s)
         n = len(words)
-        total += n
+        every += words
         if n >= 3:
             apart = set(words)
-            prose = sum(map(vocabulary.knows, apart))
-            if (prose >= 0.45 * len(apart) and len(apart) > 0.5 * n) or (_GARBLED.search(s) and not _ROWS.search(s) and n >= 5 and len(set(s.split())) > 0.6 * len(s.split())):
+            if (len(apart) > 0.5 * n and vocabulary.known(apart) >= 0.45 * len(apart)) or (n >= 5 and _GARBLED.search(s) and not _ROWS.search(s) and len(set(s.split())) > 0.6 * len(s.split())):
                 inside += n
-    return inside, total
+    return inside, every
 
 
 FEATURES = ("log_words", "row_share", "hidden_share", "linked_share", "links_per_word", "distinct_share", "separators_per_word", "ends_per_word", "words_per_unit", "capital_share")
@@ -272,13 +276,13 @@ def features(page: Page, region: list[int], vocabulary: Vocabulary) -> list[floa
         u = page.units[k]
         if u.tag in HEADINGS or u.tag == "b":
             continue
-        s, n = sentence_words(u.text, vocabulary)
-        words = _WORD.findall(u.text)
+        s, words = sentence_words(u.text, vocabulary)
+        n = len(words)
         total, inside, hidden, linked, chars, links = total + n, inside + s, hidden + n * u.hidden, linked + u.linked, chars + len(u.text), links + u.links
         seps += sum(map(u.text.count, ("|", ";", "#", ",", "/")))
         ends += sum(map(u.text.count, ".!?"))
-        caps += sum(w[0].isupper() for w in words)
-        seen.update(w.lower() for w in words)
+        caps += sum(map(str.isupper, [w[0] for w in words]))
+        seen.update(map(str.lower, words))
     t = max(total, 1)
     return [log1p(total), 1 - inside / t if total else 0.0, hidden / t, linked / max(chars, 1), links / t, len(seen) / t, seps / t, ends / t, total / max(len(region), 1), caps / t]
 

@@ -11,6 +11,7 @@ import html
 import re
 import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 _CUT = re.compile(r"(<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>)", re.S | re.I)
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9]*)")
@@ -93,10 +94,18 @@ def readable(content: bytes, declared: str | None) -> str:
     return content.decode("cp1252", "replace")
 
 
-def _sig(tag: str, name: str, parent: str) -> int:
+@lru_cache(maxsize=20_000)
+def _sig(tag: str, parent: str) -> int:
     return zlib.crc32(f"{parent}>{re.sub(r'\\s+', ' ', tag.lower())}".encode("utf-8", "replace"))
 
 
+@lru_cache(maxsize=20_000)
+def _tag(piece: str) -> tuple[str, bool]:
+    """(element, whether it is an end tag); no element for comments and declarations."""
+    m = _NAME.match(piece)
+    return (m[1].lower(), piece[1] == "/") if m else ("", False)
+
+
 def parse(text: str) -> Page:
     """The page's units and containers; ``text`` is the whole record, lines numbered from 1."""
     page = Page()
@@ -118,7 +127,7 @@ def parse(text: str) -> Page:
     def flush() -> None:
         nonlocal linked, links, bold
         if at:
-            joined = " ".join("".join(buf).split())
+            joined = " ".join((buf[0] if len(buf) == 1 else "".join(buf)).split())
             if joined:
                 top = stack[-1]
                 name = nodes[top].name
@@ -178,10 +187,8 @@ def parse(text: str) -> Page:
             in_link = 0
             buf.append(" ")
         else:
-            m = _NAME.match(piece)
-            if m is not None:
-                name = m[1].lower()
-                ends = piece[1] == "/"
+            name, ends = _tag(piece) if len(piece) < 40 else _tag.__wrapped__(piece)
+            if name:
                 if name == "br":
                     flush()
                 elif name in INLINE:
@@ -202,7 +209,7 @@ def parse(text: str) -> Page:
                     while nodes[stack[-1]].name in ("p", "hr"):
                         close(len(stack) - 1)
                     nodes[stack[-1]].children += 1
-                    nodes.append(Node("hr", _sig("<hr>", "hr", nodes[stack[-1]].name), stack[-1]))
+                    nodes.append(Node("hr", _sig("<hr>", nodes[stack[-1]].name), stack[-1]))
                     stack.append(len(nodes) - 1)
                 elif ends:
                     flush()
@@ -227,7 +234,7 @@ def parse(text: str) -> Page:
                                 break
                     top = stack[-1]
                     nodes[top].children += 1
-                    nodes.append(Node(name, _sig(piece, name, nodes[top].name), top))
+                    nodes.append(Node(name, _sig(piece, nodes[top].name), top))
                     stack.append(len(nodes) - 1)
                     if not hidden_from and ("idden" in piece or "none" in piece) and _HIDDEN.search(piece):
                         hidden_from = len(stack)

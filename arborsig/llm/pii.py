@@ -154,7 +154,7 @@ _PHONE = re.compile(
     r"|(?:1[ .\-])?\d{3}([ .\-])\d{3}\1\d{4})(?![\w]|[\-/.]\d)"
 )
 _ID = re.compile(
-    r"(?<![\w.\-/])(?:\d{8}[A-Z]|\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]\d[A-Z]\d{2}[A-Z]\d{4}|[A-Z]{2}\d{7}|[A-Z]{3}\d{6}|\d{11}"
+    r"(?<![\w.\-/])(?:\d{8}[A-Z]|\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]\d[A-Z]\d{2}[A-Z]\d{4}|[A-Z]{2}\d{7}|[A-Z]{3}\d{6}|[1-9]\d{10}"
     r"|\d \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|\d{3}\.\d{3}\.\d{3}-\d{2}|[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z])(?![\w]|[\-/]\w)"
 )
 # Words for identity documents; what follows them is a number of a person, whatever its shape.
