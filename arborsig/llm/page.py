@@ -74,7 +74,7 @@ def readable(content: bytes, declared: str | None) -> str:
     try:
         return content.decode("utf-8")
     except UnicodeDecodeError as e:
-        if e.reason == "unexpected end of data" or e.start > len(content) - 4:
+        if e.reason == "unexpected end of data":
             return content.decode("utf-8", "ignore")
     high = [b for b in content if b > 127]
     if len(high) * 6 > len(content):  # Cyrillic, one byte a letter: lower-case letters outnumber capitals

@@ -165,7 +165,7 @@ def nearest_classes(classes: DataFrame, dims: int, k: int, n: int, file_rows: in
     answers = files.groupBy("file").applyInPandas(answer, "cid bigint, others array<bigint>, dists array<double>")
     pair = F.transform(F.arrays_zip("dists", "others"), lambda x: F.struct(x["dists"].alias("dist"), x["others"].alias("other")))
     best = answers.select("cid", pair.alias("best")).groupBy("cid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
-    return best.select("cid", F.inline("best"))
+    return best.select("cid", F.inline("best")).select("cid", "other", "dist")
 
 
 def nearest_vectors(df: DataFrame, k: int = 10, dims: int = 64, id: str = "id", v: str = "v", file_rows: int = FILE) -> DataFrame:
