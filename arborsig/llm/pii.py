@@ -26,8 +26,8 @@ GIVEN = frozenset(
     Marta Álvaro Inés Joaquín Pilar Rodrigo Javier Tomás Carmen Lucía José Juan María Pablo Ana Elena Sofía Diego
     Rui Tiago Conceição João Leonor Beatriz Inês Duarte Manuel Teresa Sofia Pedro Luís Catarina
     Lorenzo Matteo Paolo Serena Niccolò Chiara Giulia Marco Luca Giovanni Francesca Elisa Davide Ilaria Alessandro
-    Joost Sanne Pieter Willem Maarten Jeroen Femke Anouk Marijke Hendrik Daan Lotte Wouter Jan
-    Tomasz Małgorzata Agnieszka Paweł Katarzyna Piotr Krzysztof Zofia Marcin Ewa Stanisław Jadwiga Wojciech
+    Joost Sanne Pieter Willem Maarten Jeroen Femke Anouk Marijke Hendrik Daan Lotte Wouter Jan Bram Lieke
+    Tomasz Małgorzata Agnieszka Paweł Katarzyna Piotr Krzysztof Zofia Marcin Ewa Stanisław Jadwiga Wojciech Halina Andrzej
     Ирина Дмитрий Виктор Наталья Павел Людмила Ольга Сергей Анна Елена Иван Мария Алексей Татьяна Николай Светлана""".split()
 )
 # Words that stand for digits, in the languages in use.
@@ -201,12 +201,12 @@ def _windows(t: str) -> list[tuple[int, int]]:
 
 _CAPS = re.compile(rf"(?<![\w'’]){_CAP}{_LOW}+(?:-{_CAP}{_LOW}+)?(?!\w)")
 _SURNAME = rf"{_CAP}{_LOW}+(?:-{_CAP}{_LOW}+)?"
-_AFTER = re.compile(rf"(?:\s(?:{_CAP}\.|{_SURNAME}))*?\s({_SURNAME})(?!\w)")
-_INITIAL = re.compile(rf"(?<![\w.&\-]){_CAP}\.(?: ?{_CAP}\.)?\s({_SURNAME})(?!\w)")
-_BEFORE = re.compile(rf"(?<![\w\-])({_SURNAME}),\s$")
-_SURNAME_INITIAL = re.compile(rf"(?<![\w\-])({_SURNAME}),\s({_CAP}\.)(?!\w)")
+_NEXT = re.compile(rf" (?:({_CAP}\.)|({_SURNAME}))(?!\w)")
+_INITIAL = re.compile(rf"(?<![\w.&\-]){_CAP}\.(?: ?{_CAP}\.)? ({_SURNAME})(?!\w)")
+_BEFORE = re.compile(rf"(?<![\w\-])({_SURNAME}), $")
+_SURNAME_INITIAL = re.compile(rf"(?<![\w\-])({_SURNAME}), ({_CAP}\.)(?!\w)")
 # Endings of surnames, for names with nothing but an initial before them; titles, which aren't part of a name.
-_ENDING = re.compile(r"(?:ham|ton|son|worth|ley|meier|mann|hoff|eau|ier|ault|ez|eras|ado|ães|eira|inho|ini|etti|elli|ink|ema|stra|ski|ska|cki|cka|ин|ина|ский|ская|ской|енко|man|berg|sen|er)$", re.I)
+_ENDING = re.compile(r"(?:ham|ton|son|worth|ley|meier|mann|hoff|eau|ier|ault|ez|eras|ado|ães|eira|inho|ini|etti|elli|ink|ema|stra|ski|ska|cki|cka|czyk|wicz|aro|oni|ucci|ova|ов|ова|ев|ева|ин|ина|ский|ская|ской|енко|man|berg|sen|er)$", re.I)
 TITLES = frozenset("mr mrs ms miss dr prof herr frau madame monsieur mme señor señora sr sra signor signora senhor senhora dona mevrouw meneer mijnheer pan pani господин госпожа г-н г-жа".split())
 NO_SURNAME = frozenset("street st road rd avenue lane close row hill ltd gmbh inc co company straße".split())
 
@@ -235,33 +235,26 @@ def _names(t: str) -> Iterator[tuple[int, int]]:
             continue
         a, b = m.start(), m.end()
         before = _BEFORE.search(t, max(0, a - 60), a)
-        after = _AFTER.match(t, b)
-        # more given names or initials, then the surname; a given name is no surname if a further word follows it
-        end = b
-        if after:
-            rest = t[b : b + 90]
-            pos = 0
-            last = None
-            for w in re.finditer(rf"\s(?:({_CAP}\.)|({_SURNAME}))(?!\w)", rest):
-                if w.start() != pos:
-                    break
-                pos = w.end()
-                if w[1]:
-                    continue
+        if before and (not _ENDING.search(before[1]) or before[1].lower() in TITLES or is_given(before[1])):
+            before = None
+        # more given names or initials, then the surname
+        end = pos = b
+        last = ""
+        while (w := _NEXT.match(t, pos)) is not None:
+            if w[2]:
                 if w[2].lower() in NO_SURNAME or w[2].lower() in TITLES:
                     break
-                last = w
-                if not is_given(w[2]):
-                    break
-            if last is not None:
-                end = b + last.end()
-        if end > b:
+                end, last = w.end(), w[2]
+            pos = w.end()
+            if w[2] and not is_given(w[2]):
+                break
+        if before and not (last and _ENDING.search(last)):
+            initial = _NEXT.match(t, b)
+            yield before.start(1), initial.end() if initial and initial[1] else b
+            done = b
+        elif end > b:
             yield a, end
             done = end
-        elif before and _ENDING.search(before[1]) and before[1].lower() not in TITLES and not is_given(before[1]):
-            more = re.match(rf"(?:\s{_CAP}\.)?", t[b : b + 4])
-            yield before.start(1), b + more.end()
-            done = b
     for m in _INITIAL.finditer(t):
         if _ENDING.search(m[1]) and m[1].lower() not in NO_SURNAME:
             yield m.start(), m.end()
