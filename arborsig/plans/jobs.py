@@ -85,19 +85,63 @@ def repeated_kmeans(objects: DataFrame, k: int, trials: int, max_iters: int = 10
     return min(runs, key=rmse)
 
 
-def experiment_grid(objects: DataFrame, orders: list[int], depth: int = 3, max_iters: list[int] = (2,), trials: int = 2) -> DataFrame:
-    """(param, trial, clusters, rmse, seconds) of top-down trees over orders and iterations, each with several seeds."""
+#: The studies' parameters.  Orders of trees are roots of numbers of clusters where so noted.
+STUDIES = {
+    "convergence": {"methods": ["tsvq", "emtree"], "orders": [10], "depth": 3, "iters": list(range(21))},
+    "tsvq_orders": {"methods": ["tsvq"], "orders": [4, 5, 6, 7, 8, 9, 10], "depth": 4, "iters": [2]},
+    "emtree_orders": {"methods": ["emtree"], "orders": [4, 5, 6, 7, 8, 10, 12], "depth": 4, "iters": [6]},
+    "tsvq_roots": {"methods": ["tsvq"], "clusters": [230, 310, 470, 590, 810, 1010, 1300, 1800, 2900, 4000], "depth": 3, "iters": [10]},
+    "emtree_roots": {"methods": ["emtree"], "clusters": [240, 350, 550, 710, 1100, 1550, 2200, 3800, 7500, 11500], "depth": 3, "iters": [10]},
+    "kmeans": {"methods": ["kmeans"], "orders": [1300, 1800, 2900, 4000], "depth": 2, "iters": [10]},
+    "ktree": {"methods": ["ktree"], "orders": [1000, 750, 500, 400, 300, 250, 200, 150, 100, 75], "depth": 2, "iters": [2]},
+    "ktree_delayed": {"methods": ["ktree_delayed"], "orders": [1000, 750, 500, 400, 300, 250, 185, 138, 85, 65], "depth": 2, "iters": [2]},
+}
+TRIALS = 20
+
+
+def _run(method: str, objects: DataFrame, m: int, depth: int, iters: int, seed: int) -> tuple[int, float]:
+    """(clusters, rmse) of one run."""
+    if method == "kmeans":
+        found = KMeans(m, iters, seed=seed).cluster(objects)
+        return sum(map(len, found.keys.values())), rmse(found)
+    if method.startswith("ktree"):
+        nodes, assigned = ktree(objects, m, iters, 1000 if method == "ktree_delayed" else 1, seed=seed)
+        tree = as_tree(nodes)
+        if tree.is_empty():
+            return 1, 0.0
+        rows = with_distances(tree, assigned.join(objects.select("id", F.col("sig").alias("value")), "id"))
+    elif method == "emtree":
+        t = EMTree.seed(objects, [m] * (depth - 1), update_means=False, seed=seed)
+        for _ in range(iters):
+            t = t.em_step()
+        tree, rows = t.tree, with_distances(t.tree, t.assigned)
+    else:
+        tree, assigned = split_levels(objects, [m] * (depth - 1), iters, seed=seed)
+        rows = with_distances(tree, assigned)
+    r = tree_stats(tree, rows).first()
+    return r["clusters"], r["rmse"]
+
+
+def experiment_grid(objects: DataFrame, orders: list[int], depth: int = 3, max_iters: list[int] = (2,), trials: int = 2, methods: list[str] = ("tsvq",)) -> DataFrame:
+    """(param, trial, clusters, rmse, seconds) of methods over orders and iterations, each with several seeds."""
     rows = []
-    for m in orders:
-        for it in max_iters:
-            for t in range(trials):
-                began = time.time()
-                tree, assigned = split_levels(objects, [m] * (depth - 1), it, seed=42 + t)
-                r = tree_stats(tree, with_distances(tree, assigned)).first()
-                rows.append((f"m={m},iters={it}", t, r["clusters"], r["rmse"], time.time() - began))
+    for method in methods:
+        for m in orders:
+            for it in max_iters:
+                for t in range(trials):
+                    began = time.time()
+                    clusters, error = _run(method, objects, m, depth, it, 42 + t)
+                    rows.append((f"{method},m={m},iters={it}", t, clusters, error, time.time() - began))
     return objects.sparkSession.createDataFrame(rows, "param string, trial int, clusters bigint, rmse double, seconds double")
 
 
+def study(objects: DataFrame, name: str, trials: int = TRIALS) -> DataFrame:
+    """The grid of one of the ``STUDIES``."""
+    s = STUDIES[name]
+    orders = s.get("orders") or [root_order(c) for c in s["clusters"]]
+    return experiment_grid(objects, orders, s["depth"], s["iters"], trials, s["methods"])
+
+
 def grid_table(grid: DataFrame) -> DataFrame:
     return results_table(grid, "param", "trial", ["clusters", "rmse", "seconds"])
 

@@ -246,3 +246,17 @@ def test_whole_jobs(spark):
     assert jobs.repeated_kmeans(df, 3, 2, 2).assigned.count() == 120 and jobs.root_order(100) == 10
     assert tree_stats(two_level(), two_level().descend(df.limit(0))).first()["rmse"] == 0.0
     assert HAMMING.name == "hamming"
+
+
+def test_grids_of_all_methods(spark):
+    df = random_sigs(spark, 60)
+    grid = jobs.experiment_grid(df, [4], 2, [1], 1, ["tsvq", "emtree", "kmeans", "ktree", "ktree_delayed"])
+    assert grid.count() == 5 and jobs.grid_table(grid).count() == 5 and grid.where("clusters < 1 or rmse is null").count() == 0
+    assert set(jobs.STUDIES) >= {"convergence", "ktree_delayed"}
+
+
+def test_hash_sample(spark):
+    from arborsig.operators.seeding import hash_sample
+
+    df = spark.range(10_000).select("id")
+    assert 900 < hash_sample(df, 1000, 10_000).count() < 1600 and hash_sample(df, 20_000, 10_000).count() == 10_000
