@@ -7,10 +7,13 @@ the share of such pages on its host, the more so the more pages the host has, by
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.seeding import hash_sample
 from .mainbody import FEATURES
 
 #: Rows of either weak label that the trees are fitted on, at most.
@@ -35,7 +38,11 @@ def score_pages(judged: DataFrame) -> DataFrame:
     """
     judged = judged.withColumn("fv", array_to_vector("features"))
     labelled = weak_labels(judged).where(F.col("y").isNotNull()).select("row_id", "fv", "y")
-    picked = [labelled.where(F.col("y") == y).orderBy(F.xxhash64("row_id", F.lit(7)), "row_id").limit(SAMPLE).collect() for y in (0.0, 1.0)]
+    numbers = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}
+    picked = []
+    for y in (0.0, 1.0):
+        rows = hash_sample(labelled.where(F.col("y") == y), SAMPLE, numbers.get(y, 0), "row_id", "spam").collect()
+        picked.append(sorted(rows, key=lambda r: crc32(str(r["row_id"]).encode()))[:SAMPLE])
     if min(map(len, picked)) < 2:
         share = F.col("features")[FEATURES.index("row_share")]
         return judged.drop("fv").withColumn("spam_score", F.when(share > 0.5, 1.0).otherwise(0.0))

@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.seeding import hash_sample
 from ..session import durable, spread
 
 #: Vectors for each pivot of the first level, and the bounds of the number of pivots.
@@ -97,8 +98,9 @@ def search_file(x: np.ndarray, queries: np.ndarray, k: int, reranked: int = RERA
     return idx, dist
 
 
-def _sample(df: DataFrame, n: int, salt: str) -> np.ndarray:
-    rows = df.select("vec", "cid").orderBy(F.xxhash64("cid", F.lit(salt)), "cid").limit(n).collect()
+def _sample(df: DataFrame, n: int, total: int, salt: str) -> np.ndarray:
+    """The vectors of at most ``n`` classes, the same for the same classes."""
+    rows = sorted(hash_sample(df.select("vec", "cid"), n, total, "cid", salt).collect(), key=lambda r: r["cid"])[:n] or df.select("vec").limit(n).collect()
     return np.stack([np.frombuffer(r["vec"], dtype="<f4") for r in rows])
 
 
@@ -131,7 +133,7 @@ def inverted_files(classes: DataFrame, dims: int, n: int, file_rows: int = FILE)
 
     Only pivots are collected: at most ``MOST_PIVOTS``, then at most ``CHILDREN`` for each file that is too large.
     """
-    posted = durable(_post_first(spread(classes), _sample(classes, max(LEAST_PIVOTS, min(MOST_PIVOTS, n // PER_PIVOT)), "pivot"), dims))
+    posted = durable(_post_first(spread(classes), _sample(classes, max(LEAST_PIVOTS, min(MOST_PIVOTS, n // PER_PIVOT)), n, "pivot"), dims))
     done = []
     for level in range(LEVELS):
         large = [r["file"] for r in posted.groupBy("file").count().where(F.col("count") > file_rows).collect()]
