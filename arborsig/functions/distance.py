@@ -27,6 +27,22 @@ class Distance(Protocol):
     def square(self, d: np.ndarray) -> np.ndarray: ...
 
 
+def stacked(values, dtype) -> np.ndarray:
+    """Rows of equal length as a matrix."""
+    rows = list(values)
+    if rows and isinstance(rows[0], np.ndarray):
+        return np.concatenate(rows).astype(dtype, copy=False).reshape(len(rows), -1)
+    return np.array(rows, dtype=dtype)
+
+
+def from_arrow(column, dtype) -> np.ndarray:
+    """An Arrow array of lists of equal length, without nulls, as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if len(column) and len(flat) % len(column):
+        raise ValueError("values differ in length")
+    return np.ascontiguousarray(flat.astype(dtype, copy=False)).reshape(len(column), -1)
+
+
 @dataclass(frozen=True)
 class Hamming:
     name: str = "hamming"
@@ -39,12 +55,14 @@ class Hamming:
         return d * d
 
     def rows(self, values) -> np.ndarray:
-        return np.array(list(values), dtype=np.int64).view(np.uint64)
+        return stacked(values, np.int64).view(np.uint64)
 
     def matrix(self, x: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), len(keys)), np.int64)
-        for w in range(x.shape[1]):
-            out += np.bitwise_count(x[:, None, w] ^ keys[None, :, w])
+        if x.shape[1] == 1:
+            return np.bitwise_count(x ^ keys[None, :, 0]).astype(np.int64)
+        out = np.empty((len(x), len(keys)), np.int64)
+        for j, k in enumerate(keys):
+            out[:, j] = np.bitwise_count(x ^ k).sum(1, dtype=np.int64)
         return out
 
     def square(self, d: np.ndarray) -> np.ndarray:
@@ -64,7 +82,7 @@ class EuclideanSq:
         return d
 
     def rows(self, values) -> np.ndarray:
-        return np.array(list(values), dtype=np.float64)
+        return stacked(values, np.float64)
 
     def matrix(self, x: np.ndarray, keys: np.ndarray) -> np.ndarray:
         return ((x[:, None, :] - keys[None, :, :]) ** 2).sum(2)

@@ -9,44 +9,88 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.distance import from_arrow
 
-def _bits(values) -> np.ndarray:
-    x = np.array(list(values), dtype="<i8")
+
+def bit_rows(words: np.ndarray) -> np.ndarray:
+    """The bits of rows of words as a matrix of 0 and 1."""
+    x = np.ascontiguousarray(words.astype("<i8", copy=False))
     return np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
 
 
+class Sums:
+    """Counts, weights, errors and sums by dimension of groups, added up batch by batch."""
+
+    def __init__(self):
+        self.held: dict = {}
+
+    def add(self, groups: np.ndarray, x: np.ndarray, w: np.ndarray | None = None, errors: np.ndarray | None = None) -> None:
+        codes, names = pd.factorize(groups)
+        order = np.argsort(codes, kind="stable")
+        cuts = np.searchsorted(codes[order], np.arange(len(names) + 1))
+        x = x[order]
+        for k, g in enumerate(names):
+            a, b = cuts[k], cuts[k + 1]
+            i = order[a:b]
+            s = x[a:b].sum(0, dtype=np.float64 if x.dtype.kind == "f" else np.int64).astype(np.float64) if w is None else w[i] @ x[a:b]
+            t = self.held.get(g)
+            if t is None:
+                t = self.held[g] = [0, 0.0, 0.0, np.zeros(x.shape[1])]
+            t[0] += b - a
+            t[1] += float(b - a) if w is None else w[i].sum()
+            t[2] += 0.0 if errors is None else float(errors[i].sum())
+            t[3] += s
+
+    def batch(self, kind: pa.DataType) -> pa.RecordBatch:
+        rows = list(self.held.items())
+        cols = [pa.array([g for g, _ in rows], kind), *(pa.array([t[j] for _, t in rows], k) for j, k in ((0, pa.int64()), (1, pa.float64()), (2, pa.float64()))), pa.array([t[3].tobytes() for _, t in rows], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["g", "n", "w", "sse", "s"])
+
+
+#: Slots that partial sums are merged in; a slot holds whole groups.
+SLOTS = 256
+
+
+def merge_sums(parts: DataFrame) -> DataFrame:
+    """(g, n, w, sse, s): the partial sums of each group as one; ``s`` holds numbers as bytes."""
+    kind = parts.schema["g"].dataType.simpleString()
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        out = [(g, q["n"].sum(), q["w"].sum(), q["sse"].sum(), np.sum([np.frombuffer(b) for b in q["s"]], axis=0).tobytes()) for g, q in p.groupby("g", sort=False)]
+        return pd.DataFrame(out, columns=["g", "n", "w", "sse", "s"])
+
+    schema = f"g {kind}, n bigint, w double, sse double, s binary"
+    return parts.groupBy(F.pmod(F.xxhash64("g"), F.lit(SLOTS))).applyInPandas(run, schema)
+
+
 def accumulate(objects: DataFrame, group: str, value: str = "sig", weight: str | None = None, bits: bool = True) -> DataFrame:
     """(group, count, weight, sums): for each group the number of objects, their weight and the sums by dimension.
 
     Objects with a null value or group don't count.  Weights default to 1.
     """
-    rows = objects.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    rows = objects.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"), *([F.col(weight).cast("double").alias("w")] if weight else []))
     kind = rows.schema["g"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, g_type = Sums(), None
         for b in batches:
-            x = _bits(b["v"]) if bits else np.array(list(b["v"]), dtype=np.float64)
-            w = b["w"].to_numpy()
-            codes, groups = pd.factorize(b["g"])
-            order = np.argsort(codes, kind="stable")
-            cuts = np.searchsorted(codes[order], np.arange(len(groups) + 1))
-            for k, g in enumerate(groups):
-                i = order[cuts[k] : cuts[k + 1]]
-                s = w[i] @ x[i]
-                if g in held:
-                    held[g] = (held[g][0] + len(i), held[g][1] + w[i].sum(), held[g][2] + s)
-                else:
-                    held[g] = (len(i), w[i].sum(), s)
-        yield pd.DataFrame([(g, n, w, s) for g, (n, w, s) in held.items()], columns=["g", "n", "w", "s"])
-
-    parts = rows.mapInPandas(run, f"g {kind}, n bigint, w double, s array<double>")
-    each = parts.select("g", "n", "w", F.posexplode("s").alias("dim", "x"))
-    dims = each.groupBy("g", "dim").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("w").alias("w"))
-    sums = F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda r: r["x"])
-    return dims.groupBy("g").agg(F.max("n").alias("count"), F.max("w").alias("weight"), sums.alias("sums")).withColumnRenamed("g", group)
+            g_type = b.schema.field(0).type
+            if b.num_rows:
+                x = from_arrow(b.column(1), np.int64 if bits else np.float64)
+                sums.add(b.column(0).to_pandas().to_numpy(), bit_rows(x) if bits else x, b.column(2).to_numpy(zero_copy_only=False) if weight else None)
+        if g_type is not None:
+            yield sums.batch(g_type)
+
+    merged = merge_sums(rows.mapInArrow(run, f"g {kind}, n bigint, w double, sse double, s binary"))
+
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            yield pd.DataFrame({"g": p["g"], "count": p["n"], "weight": p["w"], "sums": [np.frombuffer(b) for b in p["s"]]})
+
+    return merged.mapInPandas(unpacked, f"g {kind}, count bigint, weight double, sums array<double>").withColumnRenamed("g", group)
 
 
 def majority(sums: Column, total: Column) -> Column:

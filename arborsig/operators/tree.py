@@ -11,9 +11,10 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.distance import HAMMING, Distance
+from ..functions.distance import HAMMING, Distance, from_arrow
 from .nearest import MOST_KEYS, arg_nearest
 
 ROOT = "r"
@@ -162,6 +163,50 @@ class Tree:
         steps = F.transform(F.arrays_zip("names", "dists"), lambda s, i: F.struct((i + 1).alias("level"), s["names"].alias("node_id"), s["dists"].alias("dist")))
         return out.select("id", "value", steps.alias("path"))
 
+    def accumulate(self, objects: DataFrame, value: str = "sig") -> DataFrame:
+        """(leaf_id, n, sse, s): number, squared errors and sums by dimension (as bytes) of the objects by leaf.
+
+        Descent and sums are one pass over the objects; what is shuffled are a partition's sums for each leaf.
+        """
+        from .prototype import Sums, bit_rows, merge_sums
+
+        distance = self.distance
+        number: dict[str, int] = {ROOT: 0} | {k.node_id: i + 1 for i, k in enumerate(self.keys)}
+        packed = {number[p]: (np.array([number[k.node_id] for k in c]), distance.rows([k.value for k in c])) for p, c in self.children.items()}
+        shared = objects.sparkSession.sparkContext.broadcast((packed, np.array([ROOT, *(k.node_id for k in self.keys)], dtype=object)))  # at most MOST_KEYS keys
+        bits = distance.type == "bigint"
+        rows = objects.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree, names = shared.value
+            sums = Sums()
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                raw = from_arrow(b.column(0), np.int64 if bits else np.float64)
+                x = raw.view(np.uint64) if bits else raw
+                at, dist = np.zeros(len(x), np.int64), np.zeros(len(x))
+                live = np.arange(len(x))
+                while len(live):
+                    order = live[np.argsort(at[live], kind="stable")]
+                    parents, starts = np.unique(at[order], return_index=True)
+                    going = []
+                    for p, s, e in zip(parents.tolist(), starts, [*starts[1:], len(order)]):
+                        if p not in tree:
+                            continue
+                        who = order[s:e]
+                        ids, keys = tree[p]
+                        i, d = arg_nearest(x[who], keys, distance)
+                        at[who], dist[who] = ids[i], d
+                        going.append(who)
+                    live = np.concatenate(going) if going else live[:0]
+                sums.add(at, bit_rows(raw) if bits else raw, None, distance.square(dist))
+            sums.held = {names[k]: v for k, v in sums.held.items()}
+            yield sums.batch(pa.string())
+
+        parts = rows.mapInArrow(run, "g string, n bigint, w double, sse double, s binary")
+        return merge_sums(parts).select(F.col("g").alias("leaf_id"), "n", "sse", "s")
+
     def descend(self, objects: DataFrame, id: str = "id", value: str = "sig") -> DataFrame:
         """(id, value, leaf_id, dist): the leaf each object comes to."""
         last = F.element_at("path", -1)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.prototype import accumulate, majority_words
+from ..operators.prototype import majority_words
 from ..operators.tree import Tree
 from ..session import durable
 
@@ -33,21 +33,13 @@ class StreamingEMTree:
         if self.tree.is_empty():
             raise ValueError("a streaming tree needs a seed tree with at least one level of keys")
 
-    def insert(self, objects: DataFrame, id: str = "id", value: str = "sig") -> int:
+    def insert(self, objects: DataFrame, id: str = "id", value: str = "sig") -> int:  # ids play no part
         """Adds the objects to the leaves they descend to; returns their number."""
-        at = durable(self.tree.descend(objects, id, value))
-        return self._count(at, True)
-
-    def _count(self, at: DataFrame, sums: bool) -> int:
-        d = self.tree.distance
         n = 0
-        for r in at.groupBy("leaf_id").agg(F.count("*").alias("n"), F.sum(d.squared(F.col("dist"))).alias("sse")).collect():  # a row a leaf
-            a = self.acc.setdefault(r["leaf_id"], Accumulator())
-            a.count, a.sse, n = a.count + r["n"], a.sse + r["sse"], n + r["n"]
-        if sums:
-            for r in accumulate(at, "leaf_id", "value", bits=d.type == "bigint").collect():
-                a = self.acc[r["leaf_id"]]
-                a.sums = np.asarray(r["sums"]) if a.sums is None else a.sums + np.asarray(r["sums"])
+        for leaf, count, sse, s in self.tree.accumulate(objects, value).toPandas().itertuples(index=False):  # a row a leaf
+            a = self.acc.setdefault(leaf, Accumulator())
+            a.count, a.sse, n = a.count + int(count), a.sse + sse, n + int(count)
+            a.sums = np.frombuffer(s) if a.sums is None else a.sums + np.frombuffer(s)
         return n
 
     def visit(self, objects: DataFrame, id: str = "id", value: str = "sig", count: bool = True) -> DataFrame:
@@ -55,7 +47,11 @@ class StreamingEMTree:
         paths = durable(self.tree.paths(objects, id, value))
         if count:
             last = F.element_at("path", -1)
-            self._count(paths.select("value", last["node_id"].alias("leaf_id"), last["dist"].alias("dist")), False)
+            d = self.tree.distance
+            leaves = paths.select(last["node_id"].alias("leaf_id"), last["dist"].alias("dist")).groupBy("leaf_id")
+            for r in leaves.agg(F.count("*").alias("n"), F.sum(d.squared(F.col("dist"))).alias("sse")).collect():  # a row a leaf
+                a = self.acc.setdefault(r["leaf_id"], Accumulator())
+                a.count, a.sse = a.count + r["n"], a.sse + r["sse"]
         return paths.select("id", F.inline("path")).select("level", "id", "node_id", "dist")
 
     def _rolled(self) -> dict[str, Accumulator]:
