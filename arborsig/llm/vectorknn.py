@@ -23,7 +23,7 @@ from ..session import durable, spread
 #: Vectors for each pivot of the first level, and the bounds of the number of pivots.
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 150, 8, 4096
 #: Files that a vector is posted in, and those it visits as a query.
-POSTS, VISITS = 5, 3
+POSTS, VISITS = 6, 4
 #: Members of a file beyond which it gets its own pivots, and how many it gets at most; levels of files at most.
 FILE, CHILDREN, LEVELS = 6000, 48, 6
 #: Inside a file: its pivots, the length of the permutations, the members ranked by true distance for each query.
