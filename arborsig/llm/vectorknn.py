@@ -1,12 +1,15 @@
-"""The k most similar vectors for every vector, by a permutation index.
+"""The k nearest vectors for every vector, by a permutation index whose answers are proven.
 
 1. Equal vectors are merged into a class that keeps its k + 1 smallest ids, which is all any answer can need of it.
-2. A bounded sample of the classes serves as pivots.  Each vector is represented by its nearest pivots in order and
-   posted in their inverted files; as a query it visits the files of the first of them.
-3. A file that is too large for a task gets pivots of its own, drawn from its members, and its members are posted
-   again under these, until all files are small.  So a dense region gets as many pivots as it needs.
-4. Inside a file the members are ordered by the footrule distance between their permutations of the file's own
-   pivots; the best are ranked again by true distance.  Files' answers are merged by query.
+2. A bounded sample of the classes serves as pivots.  Each vector is posted in the inverted file of its nearest pivot.
+   A file that is too large for a task gets pivots of its own, drawn from its members, until all files are small.
+3. Files near each other are stored together in tiles of bounded size.  A query visits the tiles of the first files of
+   its permutation, and is compared with all members there, which bounds the distance of its k-th neighbour.
+4. It then visits the tiles of all files whose ball (centre and radius) reaches within that distance: no other file can
+   hold a neighbour.  Answers are merged by query.
+
+Regions that differ by noise in all directions can't be told apart by their balls: there every query visits every tile,
+which is quadratic in the size of such a region.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ from ..session import durable, spread
 
 #: Vectors for each pivot of the first level, and the bounds of the number of pivots.
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 150, 8, 4096
-#: Files that a vector is posted in, and those it visits as a query.
-POSTS, VISITS = 6, 4
-#: Members of a file beyond which it gets its own pivots, and how many it gets at most; levels of files at most.
+#: Files of a query's permutation whose tiles it visits before its k-th distance is known.
+VISITS = 4
+#: Members of a file beyond which it gets its own pivots, and of a tile; pivots of a file at most; levels at most.
 FILE, CHILDREN, LEVELS = 6000, 48, 6
-#: Inside a file: its pivots, the length of the permutations, the members ranked by true distance for each query.
-LOCAL_PIVOTS, LOCAL_LENGTH, RERANKED = 96, 8, 160
+#: Queries that a task compares with a tile.
+ASKED = 8192
 
 
 def usable(df: DataFrame, dims: int, id: str = "id", v: str = "v") -> DataFrame:
@@ -48,56 +51,45 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(np.take_along_axis(d, top, 1), axis=1, kind="stable"), 1)
 
 
-def footrule_candidates(x: np.ndarray, queries: np.ndarray, n: int, pivots: int = LOCAL_PIVOTS, length: int = LOCAL_LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Slices of ``queries`` (indices of rows of x), each with the n rows nearest by footrule.
+def nearest_rows(x: np.ndarray, xid: np.ndarray, q: np.ndarray, qid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, squared distances) of the k rows of x nearest to each row of q, those of its own id excluded, padded with -1.
 
-    A permutation cut off after ``length`` pivots puts all others at rank ``length``.  The footrule distance of two
-    of them is then a constant less twice the sum, over the pivots both hold, of length - max(rank, rank).
+    Candidates are taken in single precision; where its error could hide a neighbour, in double precision.
     """
-    step = max(1, len(x) // pivots)
-    perm = nearest_pivots(x, x[::step][:pivots], length)
-    length = perm.shape[1]
-    weight = np.zeros((min(pivots, len(x[::step])), len(x)), np.uint8)
-    for j in range(length):
-        weight[perm[:, j], np.arange(len(x))] = length - j
-    for s in range(0, len(queries), 256):
-        q = queries[s : s + 256]
-        shared = np.zeros((len(q), len(x)), np.uint8)
-        for j in range(length):
-            shared += np.minimum(weight[perm[q, j]], np.uint8(length - j))
-        yield q, np.argpartition(np.uint8(255) - shared, n - 1, axis=1)[:, :n]
-
-
-def search_file(x: np.ndarray, queries: np.ndarray, k: int, reranked: int = RERANKED) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, squared distances) of the k rows of x nearest to each query row, itself excluded, padded with -1."""
-    k_out = min(k, len(x) - 1)
-    idx, dist = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), np.inf)
-    if k_out < 1:
+    idx, dist = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf)
+    if not len(x) or not len(q):
         return idx, dist
-    norm = (x**2).sum(1)
-    if len(x) <= reranked:
-        slices = ((queries[s : s + 256], None) for s in range(0, len(queries), 256))
-    else:
-        slices = footrule_candidates(x, queries, reranked)
-    at = 0
-    for q, cand in slices:
-        if cand is None:
-            cand = np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
-        d = norm[cand] - 2 * np.matmul(x[cand], x[q][:, :, None])[:, :, 0]
-        d[cand == q[:, None]] = np.inf
-        m = min(2 * k + 4, cand.shape[1])
-        few = np.argpartition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
-        cand = np.take_along_axis(cand, few, 1)
-        exact = ((x[cand].astype(np.float64) - x[q][:, None, :].astype(np.float64)) ** 2).sum(2)
-        exact[cand == q[:, None]] = np.inf
-        order = np.argsort(exact, axis=1, kind="stable")[:, :k_out]
-        idx[at : at + len(q), :k_out] = np.take_along_axis(cand, order, 1)
-        dist[at : at + len(q), :k_out] = np.take_along_axis(exact, order, 1)
-        at += len(q)
+    middle = x.mean(0, dtype=np.float64)
+    x64, q64 = x - middle, q - middle
+    x32, norm, longest = x64.astype(np.float32), (x64**2).sum(1), np.sqrt((x64**2).sum(1).max())
+    norm32 = norm.astype(np.float32)
+    m, k_out = min(2 * k + 4, len(x)), min(k, len(x))
+    for s in range(0, len(q), 256):
+        part, own = q64[s : s + 256], xid[None, :] == qid[s : s + 256, None]
+        d = norm32 - 2 * (part.astype(np.float32) @ x32.T)
+        d[own] = np.inf
+        few = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(x) else np.broadcast_to(np.arange(len(x)), d.shape)
+        exact = ((x64[few] - part[:, None, :]) ** 2).sum(2)
+        exact[np.take_along_axis(own, few, 1)] = np.inf
+        order = np.lexsort((few, exact), axis=1)[:, :k_out]
+        idx[s : s + 256, :k_out], dist[s : s + 256, :k_out] = np.take_along_axis(few, order, 1), np.take_along_axis(exact, order, 1)
+        if m < len(x):
+            size = (part**2).sum(1)
+            beyond = np.take_along_axis(d, few, 1).max(1) + size - 4 * x.shape[1] * 2.0**-24 * (longest + np.sqrt(size)) ** 2
+            for i in np.flatnonzero(~(beyond > dist[s : s + 256, k_out - 1])):
+                all_d = ((x64 - part[i]) ** 2).sum(1)
+                all_d[own[i]] = np.inf
+                best = np.argsort(all_d, kind="stable")[:k_out]
+                idx[s + i, :k_out], dist[s + i, :k_out] = best, all_d[best]
     idx[np.isinf(dist)] = -1
     return idx, dist
 
 
+def search_file(x: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``nearest_rows`` of the rows ``queries`` of x among all others."""
+    return nearest_rows(x, np.arange(len(x)), x[queries], queries, k)
+
+
 def _sample(df: DataFrame, n: int, total: int, salt: str) -> np.ndarray:
     """The vectors of at most ``n`` classes, the same for the same classes."""
     rows = sorted(hash_sample(df.select("vec", "cid"), n, total, "cid", salt).collect(), key=lambda r: r["cid"])[:n] or df.select("vec").limit(n).collect()
@@ -107,11 +99,10 @@ def _sample(df: DataFrame, n: int, total: int, salt: str) -> np.ndarray:
 def _post_first(classes: DataFrame, pivots: np.ndarray, dims: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            near = nearest_pivots(_rows(p["vec"], dims), pivots, POSTS)
-            m = near.shape[1]
-            yield pd.DataFrame({"file": [str(f) for f in near.ravel()], "cid": np.repeat(p["cid"].to_numpy(), m), "vec": p["vec"].repeat(m).to_numpy(), "asks": np.tile(np.arange(m) < VISITS, len(p))})
+            near = nearest_pivots(_rows(p["vec"], dims), pivots, 1)
+            yield pd.DataFrame({"file": [str(f) for f in near[:, 0]], "cid": p["cid"], "vec": p["vec"]})
 
-    return classes.select("cid", "vec").mapInPandas(run, "file string, cid bigint, vec binary, asks boolean")
+    return classes.select("cid", "vec").mapInPandas(run, "file string, cid bigint, vec binary")
 
 
 def _post_again(posted: DataFrame, children: dict[str, np.ndarray], dims: int) -> DataFrame:
@@ -120,16 +111,14 @@ def _post_again(posted: DataFrame, children: dict[str, np.ndarray], dims: int) -
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             for file, part in p.groupby("file", sort=False):
-                near = nearest_pivots(_rows(part["vec"], dims), children[file], POSTS)
-                m = near.shape[1]
-                asks = (np.arange(m) < VISITS)[None, :] & part["asks"].to_numpy(dtype=bool)[:, None]
-                yield pd.DataFrame({"file": [f"{file}.{f}" for f in near.ravel()], "cid": np.repeat(part["cid"].to_numpy(), m), "vec": part["vec"].repeat(m).to_numpy(), "asks": asks.ravel()})
+                near = nearest_pivots(_rows(part["vec"], dims), children[file], 1)
+                yield pd.DataFrame({"file": [f"{file}.{f}" for f in near[:, 0]], "cid": part["cid"], "vec": part["vec"]})
 
-    return posted.mapInPandas(run, "file string, cid bigint, vec binary, asks boolean").groupBy("file", "cid").agg(F.first("vec").alias("vec"), F.max("asks").alias("asks"))
+    return posted.mapInPandas(run, "file string, cid bigint, vec binary")
 
 
 def inverted_files(classes: DataFrame, dims: int, n: int, file_rows: int = FILE) -> DataFrame:
-    """(file, cid, vec, asks): every class under its nearest pivots, no file with many more than ``file_rows`` members.
+    """(file, cid, vec): every class under its nearest pivot, no file with many more than ``file_rows`` members.
 
     Only pivots are collected: at most ``MOST_PIVOTS``, then at most ``CHILDREN`` for each file that is too large.
     """
@@ -151,27 +140,102 @@ def inverted_files(classes: DataFrame, dims: int, n: int, file_rows: int = FILE)
     return posted
 
 
-def nearest_classes(classes: DataFrame, dims: int, k: int, n: int, file_rows: int = FILE) -> DataFrame:
-    """(cid, other, dist): up to k nearest other classes of each class (cid BIGINT, vec BINARY of floats)."""
-    files = inverted_files(classes, dims, n, file_rows)
+def file_balls(files: DataFrame, dims: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(names, centres, radii, members) of the files, of which there are as many as pivots."""
+
+    def ball(p: pd.DataFrame) -> pd.DataFrame:
+        x = _rows(p["vec"], dims).astype(np.float64)
+        c = x.mean(0)
+        return pd.DataFrame({"file": [p["file"].iloc[0]], "n": [len(x)], "centre": [c.tobytes()], "radius": [float(np.sqrt(((x - c) ** 2).sum(1).max()))]})
+
+    rows = sorted(files.groupBy("file").applyInPandas(ball, "file string, n bigint, centre binary, radius double").collect(), key=lambda r: r["file"])
+    return [r["file"] for r in rows], np.stack([np.frombuffer(r["centre"]) for r in rows]), np.array([r["radius"] for r in rows]), np.array([r["n"] for r in rows])
+
+
+def tiles_of(centres: np.ndarray, members: np.ndarray, tile_rows: int) -> np.ndarray:
+    """The tile of each file: files near each other, with at most ``tile_rows`` members in all unless a file has more."""
+    seeds = centres[:: max(1, int(len(centres) * tile_rows / members.sum()))]
+    near = nearest_pivots(centres, seeds, 1)[:, 0]
+    tile, now, held, last = np.zeros(len(centres), np.int64), -1, 0, -1
+    for f in np.lexsort((((centres - seeds[near]) ** 2).sum(1), near)):
+        if near[f] != last or held + members[f] > tile_rows:
+            now, held, last = now + 1, 0, near[f]
+        tile[f], held = now, held + members[f]
+    return tile
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Distances with an error far below the slack of ``reaching``."""
+    middle = centres.mean(0)
+    x, c = x.astype(np.float64) - middle, centres - middle
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * (x @ c.T), 0.0))
+
 
-    def answer(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("cid", kind="stable")
-        cid, x = p["cid"].to_numpy(), _rows(p["vec"], dims)
-        asking = np.flatnonzero(p["asks"].to_numpy(dtype=bool))
-        idx, dist = search_file(x, asking, k)
+def reaching(d: np.ndarray, radii: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """For each query (row of ``d``, its distances from the centres) the files that may hold a vector within ``bound``."""
+    return d - radii[None, :] <= bound[:, None] + 1e-6 * (1 + d + radii[None, :])
+
+
+def _search(asks: DataFrame, members: DataFrame, dims: int, k: int) -> DataFrame:
+    """(cid, vec, tile, best): for each query of ``asks`` (tile, cid, vec) the k nearest in its tile, no task with many more than ``ASKED`` queries."""
+    parts = [(r["tile"], -(-r["count"] // ASKED)) for r in asks.groupBy("tile").count().collect()]
+    cut = F.broadcast(asks.sparkSession.createDataFrame(parts, "tile bigint, parts int"))  # a row a tile
+    asked = asks.join(cut, "tile").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    copies = members.join(cut, "tile").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def answer(m: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        m = m.sort_values("cid", kind="stable")
+        cid, mine = m["cid"].to_numpy(), q["cid"].to_numpy()
+        idx, dist = nearest_rows(_rows(m["vec"], dims), cid, _rows(q["vec"], dims), mine, k) if len(m) and len(q) else (np.empty((0, k), np.int64), np.empty((0, k)))
         keep = idx >= 0
-        others, dists = [cid[i[m]] for i, m in zip(idx, keep)], [d[m] for d, m in zip(dist, keep)]
-        return pd.DataFrame({"cid": cid[asking], "others": pd.Series(others, dtype=object), "dists": pd.Series(dists, dtype=object)})
+        others, dists = [cid[i[e]] for i, e in zip(idx, keep)], [d[e] for d, e in zip(dist, keep)]
+        return pd.DataFrame({"cid": mine[: len(idx)], "vec": q["vec"].iloc[: len(idx)].to_numpy(), "tile": q["tile"].iloc[: len(idx)].to_numpy(), "others": pd.Series(others, dtype=object), "dists": pd.Series(dists, dtype=object)})
+
+    found = copies.select("tile", "part", "cid", "vec").groupBy("tile", "part").cogroup(asked.select("tile", "part", "cid", "vec").groupBy("tile", "part"))
+    answers = found.applyInPandas(answer, "cid bigint, vec binary, tile bigint, others array<bigint>, dists array<double>")
+    return answers.select("cid", "vec", "tile", F.transform(F.arrays_zip("dists", "others"), lambda x: F.struct(x["dists"].alias("dist"), x["others"].alias("other"))).alias("best"))
+
 
-    answers = files.groupBy("file").applyInPandas(answer, "cid bigint, others array<bigint>, dists array<double>")
-    pair = F.transform(F.arrays_zip("dists", "others"), lambda x: F.struct(x["dists"].alias("dist"), x["others"].alias("other")))
-    best = answers.select("cid", pair.alias("best")).groupBy("cid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
+def nearest_classes(classes: DataFrame, dims: int, k: int, n: int, file_rows: int = FILE) -> DataFrame:
+    """(cid, other, dist): the k nearest other classes of each class (cid BIGINT, vec BINARY of floats)."""
+    spark = classes.sparkSession
+    files = inverted_files(classes, dims, n, file_rows)
+    names, centres, radii, counts = file_balls(files, dims)
+    tiles = tiles_of(centres, counts, file_rows)
+    shared = spark.sparkContext.broadcast((centres, radii, tiles))
+    where = F.broadcast(spark.createDataFrame([(f, int(t)) for f, t in zip(names, tiles)], "file string, tile bigint"))
+    members = durable(files.join(where, "file").select("tile", "cid", "vec"))
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres, _, tiles = shared.value
+        for p in batches:
+            near = tiles[nearest_pivots(_rows(p["vec"], dims).astype(np.float64), centres, VISITS)]
+            visits = [sorted({t, *v}) for t, v in zip(p["tile"], near.tolist())]
+            times = [len(v) for v in visits]
+            yield pd.DataFrame({"tile": np.concatenate(visits).astype(np.int64), "cid": np.repeat(p["cid"].to_numpy(), times), "vec": p["vec"].repeat(times).to_numpy()})
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres, radii, tiles = shared.value
+        for p in batches:
+            for s in range(0, len(p), 512):
+                part = p.iloc[s : s + 512]
+                bound = np.array([np.inf if b is None or np.isnan(b) else b for b in part["bound"]]) ** 0.5
+                row, file = np.nonzero(reaching(_distances(_rows(part["vec"], dims), centres), radii, bound))
+                asked = np.unique(np.stack([row, tiles[file]], 1), axis=0)
+                asked = asked[[t not in v for v, t in zip(map(set, part["tiles"].iloc[asked[:, 0]]), asked[:, 1])]] if len(asked) else asked
+                yield pd.DataFrame({"tile": asked[:, 1], "cid": part["cid"].to_numpy()[asked[:, 0]], "vec": part["vec"].to_numpy()[asked[:, 0]]})
+
+    asks = "tile bigint, cid bigint, vec binary"
+    merged = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)
+    seen = durable(_search(durable(members.mapInPandas(first, asks)), members, dims, k).groupBy("cid").agg(F.first("vec").alias("vec"), F.collect_set("tile").alias("tiles"), merged.alias("best")))
+    bounded = seen.select("cid", "vec", "tiles", F.try_element_at("best", F.lit(k))["dist"].alias("bound"))
+    more = _search(durable(bounded.mapInPandas(rest, asks)), members, dims, k)
+    best = seen.select("cid", "best").union(more.select("cid", "best")).groupBy("cid").agg(merged.alias("best"))
     return best.select("cid", F.inline("best")).select("cid", "other", "dist")
 
 
 def nearest_vectors(df: DataFrame, k: int = 10, dims: int = 64, id: str = "id", v: str = "v", file_rows: int = FILE) -> DataFrame:
-    """(id, other, dist, rank): the k nearest other ids of every usable vector by Euclidean distance, nearly exact.
+    """(id, other, dist, rank): the k nearest other ids of every usable vector by Euclidean distance.
 
     Equal distances go to the smaller id.  Rows without an id, with a null, short or empty vector or with numbers that
     aren't finite don't take part; repeated rows count once; other columns are ignored.  With fewer than k others, all

@@ -82,6 +82,21 @@ def test_nearly_all_neighbours_are_found(spark, file_rows):
     assert len(got & want) / len(want) > 0.97 and len(got & want) / len(got) > 0.97
 
 
+def test_all_neighbours_in_a_hot_third_are_found(spark):
+    x = vectors(10_000)
+    df = spark.createDataFrame([(f"v{i:05d}", r.tolist(), 1, 2) for i, r in enumerate(x)], VEC)
+    got = {}
+    for r in nearest_vectors(df).select("id", "other").toPandas().itertuples():
+        got.setdefault(int(r.id[1:]), set()).add(int(r.other[1:]))
+    wide, hits = x.astype(np.float64), 0
+    asked = [*range(0, 3333, 11), *range(3333, 10_000, 41)]
+    for i in asked:
+        d = ((wide - wide[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hits += len(got[i] & set(np.argpartition(d, 9)[:10].tolist()))
+    assert hits == 10 * len(asked)
+
+
 def test_copies_ties_and_unusable_rows(spark):
     one, two = [1.0] * 64, [2.0] * 64
     rows = [(f"a{i:02d}", one, 0, 0) for i in range(30)] + [("b", two, 0, 0), ("b", two, 0, 0), (None, one, 0, 0), ("n", None, 0, 0), ("s", [1.0], 0, 0), ("q", [float("nan")] * 64, 0, 0), ("z", [None] * 64, 0, 0), ("i", [float("inf")] * 64, 0, 0)]
