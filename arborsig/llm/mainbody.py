@@ -5,8 +5,8 @@
    mean share of a page's points that containers with a given tag get is that tag's weight.
    Likewise the words of sentences are gathered: words on many pages in stretches of text that the sample sentences'
    words already mark as sentences.
-3. Lines (numbers, the site's name and what follows a short lead-in left out) that recur on many pages, mostly in
-   containers of little weight, are furniture: notices, teasers, menus.
+3. Lines (numbers, the site's name and what follows a short lead-in left out) that recur on many distinct pages, mostly
+   in containers of little weight, are furniture: notices, teasers, menus.  Copies of an article count as one page.
 4. On each page the container with the most points, discounted by its links and furniture and weighed by its tag, is
    kept, with siblings that come near it; furniture inside is left out.
 
@@ -20,6 +20,7 @@ import marshal
 import re
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import durable, spread
 from .page import HEADINGS, Page, declared_charset, parse, readable
 
-#: A line recurs if it is on this share of the pages, and on at least so many.
+#: A line recurs if it is on this share of the distinct pages, and on at least so many.
 LINE_SHARE, LINE_PAGES = 0.002, 8
 #: A tag's weight is taken from the corpus if it is on this share of pages, else it is DEFAULT_WEIGHT.
 TAG_SHARE, DEFAULT_WEIGHT = 0.001, 0.25
@@ -100,11 +101,22 @@ def subtree_sums(page: Page, values: list[float], passed: float = 1.0) -> list[f
     return total
 
 
+def body_hash(page: Page, points: list[float], host: str) -> int:
+    """The same number for copies of an article, also within other furniture: of the text of the container with the most points and of first headings."""
+    best = max(range(len(points)), key=points.__getitem__) if page.units and max(points) > 0 else 0
+    inside = [i == best for i in range(len(page.nodes))]
+    for i in range(best + 1, len(inside)):
+        inside[i] = inside[page.nodes[i].parent]
+    own = [u.text for u in page.units if inside[u.node] or u.tag == "h1"]
+    text = "\n".join(own)
+    return int.from_bytes(blake2b((text.replace(host, "\x01") if host else text).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def parse_pages(records: DataFrame, samples: frozenset[int] = frozenset()) -> DataFrame:
-    """(row_id, host, label, title, fps, fsigs, sigs, shares, words, blob): the parsed pages among ``records``.
+    """(row_id, host, label, title, body, fps, fsigs, sigs, shares, words, blob): the parsed pages among ``records``.
 
     A page is a record whose metadata has ``warc-trec-id`` and whose content isn't null or empty; others give no row.
-    ``fps`` and ``fsigs`` have a unit's fingerprint and its container's tag, ``sigs`` and ``shares`` a container's tag
+    ``body`` is the same for copies of an article; ``fps`` and ``fsigs`` have a unit's fingerprint and its container's tag, ``sigs`` and ``shares`` a container's tag
     and its share of the page's points, ``words`` the checksums (plus 1) of the words of
     sentences, as marked by the words ``samples``, and negated those of words elsewhere.
     """
@@ -129,10 +141,10 @@ def parse_pages(records: DataFrame, samples: frozenset[int] = frozenset()) -> Da
                 blob = marshal.dumps(([(u.node, u.tag, u.text, u.lines, u.linked, u.hidden, u.links) for u in p.units], [(n.name, n.sig, n.parent, n.units, n.children) for n in p.nodes], fp, p.lang))
                 yes, no = stretch_words(p, vocabulary)
                 words = [1 + k for k in set(map(sums.__getitem__, yes))] + [-1 - k for k in set(map(sums.__getitem__, no))]
-                out.append((row_id, host, label, p.title, list(own), list(own.values()), [p.nodes[i].sig for i in nodes], [points[i] / total for i in nodes], words, blob))
-            yield pd.DataFrame(out, columns=["row_id", "host", "label", "title", "fps", "fsigs", "sigs", "shares", "words", "blob"])
+                out.append((row_id, host, label, p.title, body_hash(p, points, host), list(own), list(own.values()), [p.nodes[i].sig for i in nodes], [points[i] / total for i in nodes], words, blob))
+            yield pd.DataFrame(out, columns=["row_id", "host", "label", "title", "body", "fps", "fsigs", "sigs", "shares", "words", "blob"])
 
-    return pages.mapInPandas(run, "row_id bigint, host string, label string, title string, fps array<bigint>, fsigs array<bigint>, sigs array<bigint>, shares array<float>, words array<bigint>, blob binary")
+    return pages.mapInPandas(run, "row_id bigint, host string, label string, title string, body bigint, fps array<bigint>, fsigs array<bigint>, sigs array<bigint>, shares array<float>, words array<bigint>, blob binary")
 
 
 def tag_weights(parsed: DataFrame, n: int) -> dict[int, float]:
@@ -142,15 +154,18 @@ def tag_weights(parsed: DataFrame, n: int) -> dict[int, float]:
     return {r["sig"]: r["w"] for r in rows}
 
 
-def furniture(parsed: DataFrame, n: int, weights: dict[int, float]) -> frozenset[int]:
-    """The fingerprints of recurring lines that stand mostly in containers of little weight."""
+def furniture(parsed: DataFrame, weights: dict[int, float]) -> frozenset[int]:
+    """The fingerprints of lines that recur on distinct pages and stand mostly in containers of little weight."""
     spark = parsed.sparkSession
-    pairs = parsed.select(F.explode(F.arrays_zip("fps", "fsigs")).alias("s")).select(F.col("s.fps").alias("fp"), F.col("s.fsigs").alias("sig"))
-    counted = pairs.groupBy("fp", "sig").count()
+    least = max(LINE_PAGES, LINE_SHARE * parsed.select("body").distinct().count())
+    # only lines on so many rows can be on so many distinct pages: the rest is left out before pages are told apart
+    often = parsed.select(F.explode("fps").alias("fp")).groupBy("fp").count().where(F.col("count") >= least).select("fp")
+    pairs = parsed.select("body", F.explode(F.arrays_zip("fps", "fsigs")).alias("s")).select("body", F.col("s.fps").alias("fp"), F.col("s.fsigs").alias("sig"))
+    counted = pairs.join(F.broadcast(often), "fp", "left_semi").groupBy("fp", "body").agg(F.min("sig").alias("sig")).groupBy("fp", "sig").count()
     known = spark.createDataFrame([(int(k), float(v)) for k, v in weights.items()] or [(-1, 0.0)], "sig bigint, w double")  # bounded: see tag_weights
     weighed = counted.join(F.broadcast(known), "sig", "left").withColumn("w", F.when(F.col("sig") == 0, 0.0).otherwise(F.coalesce("w", F.lit(DEFAULT_WEIGHT))))
     lines = weighed.groupBy("fp").agg(F.sum("count").alias("n"), (F.sum(F.col("w") * F.col("count")) / F.sum("count")).alias("w"))
-    return frozenset(r["fp"] for r in lines.where((F.col("n") >= max(LINE_PAGES, LINE_SHARE * n)) & (F.col("w") < FURNITURE_WEIGHT)).select("fp").collect())
+    return frozenset(r["fp"] for r in lines.where((F.col("n") >= least) & (F.col("w") < FURNITURE_WEIGHT)).select("fp").collect())
 
 
 def load(blob: bytes) -> tuple[Page, list[int]]:
@@ -313,7 +328,7 @@ def judge_pages(records: DataFrame, langrefs: DataFrame, with_text: bool = False
     parsed = durable(parse_pages(records, samples))
     n = parsed.count()
     weights = tag_weights(parsed, n)
-    known = furniture(parsed, n, weights)
+    known = furniture(parsed, weights)
     shared = spark.sparkContext.broadcast((weights, known, samples | corpus_vocabulary(parsed, n)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
