@@ -270,11 +270,13 @@ def leaf_counter(tree: Tree, spark: SparkSession) -> DataFrame:
 
 
 def size_histogram(tree: Tree, assigned: DataFrame, largest: int) -> DataFrame:
-    """(size, leaves) for every size from 0 to ``largest``."""
+    """(size, leaves) for every size from 0 to ``largest``, or to the largest leaf's if that is more."""
     spark = assigned.sparkSession
     sizes = tree.frame(spark).join(spark.createDataFrame([(k.node_id,) for k in tree.leaves()], "node_id string"), "node_id", "left_semi").select(F.col("node_id").alias("leaf_id"))
     counted = sizes.join(assigned.groupBy("leaf_id").count(), "leaf_id", "left").select(F.coalesce("count", F.lit(0)).alias("size")).groupBy("size").agg(F.count("*").alias("leaves"))
-    return spark.range(largest + 1).select(F.col("id").alias("size")).join(counted, "size", "left").select("size", F.coalesce("leaves", F.lit(0)).alias("leaves"))
+    rows = [tuple(r) for r in counted.collect()]  # at most as many as leaves
+    counted = spark.createDataFrame(rows, "size bigint, leaves bigint")
+    return spark.range(max([largest, *(r[0] for r in rows)]) + 1).select(F.col("id").alias("size")).join(counted, "size", "left").select("size", F.coalesce("leaves", F.lit(0)).alias("leaves"))
 
 
 def leaf_counts(assigned: DataFrame) -> dict[str, int]:

@@ -169,6 +169,12 @@ def test_tsvq_levels_and_histogram(spark):
         tsvq(random_sigs(spark, 5), 3, 1)
 
 
+def test_leaves_beyond_the_histogram_are_counted(spark):
+    tree, assigned = tsvq(random_sigs(spark, 100), 3, 3, 2)
+    h = size_histogram(tree, assigned, 3).collect()
+    assert sum(r["size"] * r["leaves"] for r in h) == 100 and len({r["size"] for r in h}) == len(h) == max(r["size"] for r in h) + 1
+
+
 def check_shape(kernel):
     depths, sizes = set(), []
 
