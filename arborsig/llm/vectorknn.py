@@ -1,15 +1,17 @@
-"""The k nearest vectors for every vector, by a permutation index whose answers are proven.
+"""The k nearest vectors for every vector, by a permutation index.
 
 1. Equal vectors are merged into a class that keeps its k + 1 smallest ids, which is all any answer can need of it.
-2. A bounded sample of the classes serves as pivots.  Each vector is posted in the inverted file of its nearest pivot.
-   A file that is too large for a task gets pivots of its own, drawn from its members, until all files are small.
-3. Files near each other are stored together in tiles of bounded size.  A query visits the tiles of the first files of
-   its permutation, and is compared with all members there, which bounds the distance of its k-th neighbour.
-4. It then visits the tiles of all files whose ball (centre and radius) reaches within that distance: no other file can
-   hold a neighbour.  Answers are merged by query.
-
-Regions that differ by noise in all directions can't be told apart by their balls: there every query visits every tile,
-which is quadratic in the size of such a region.
+2. Pivots are drawn from a bounded sample of the classes; those that would draw far more than their share of the sample
+   are left out.  A vector's permutation is the list of its nearest pivots, nearest first.
+3. Each class is posted, once for each of its first ``POSTS`` pivots, in that pivot's inverted file.  A query looks into
+   the files of these same pivots, so each file answers its own members; a file that is too large is compared in pairs of
+   blocks.
+4. In a file the members are ranked by the footrule distance of their permutations from the query's, and the first of
+   them, a fixed number or a share of the file if that is more, are reranked by their true distances.  Where these show
+   no contrast, as in noise, the whole file is reranked.
+5. Each query's answers from its files are merged.  On demand they are then proven and completed exactly.
+
+There is one level of files, so that a vector is copied ``POSTS`` times however large the collection is.
 """
 
 from __future__ import annotations
@@ -23,14 +25,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..operators.seeding import hash_sample
 from ..session import durable, spread
 
-#: Vectors for each pivot of the first level, and the bounds of the number of pivots.
-PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 150, 8, 4096
-#: Files of a query's permutation whose tiles it visits before its k-th distance is known.
-VISITS = 4
-#: Members of a file beyond which it gets its own pivots, and of a tile; pivots of a file at most; levels at most.
-FILE, CHILDREN, LEVELS = 6000, 48, 6
-#: Queries that a task compares with a tile.
-ASKED = 8192
+#: Vectors for each pivot, and the bounds of the number of pivots.
+PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 100, 8, 32_768
+#: Candidates for each pivot, and how many rows of the sample they are tried on at most.
+CANDIDATES, TRIED = 1.5, 8192
+#: Pivots of a permutation; files a vector is posted in.
+LENGTH, POSTS = 48, 8
+#: Members of a file that are reranked by their true distances: so many, and this share of the file.
+RERANKED, RERANKED_SHARE = 200, 0.25
+#: The whole file is reranked if the k-th distance is above this part of the median of those of the reranked.
+CONTRAST = 0.7
+#: Members of a block of a file.
+FILE = 8192
 
 
 def usable(df: DataFrame, dims: int, id: str = "id", v: str = "v") -> DataFrame:
@@ -44,202 +50,183 @@ def _rows(packed: pd.Series, dims: int) -> np.ndarray:
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
-    """The indices of the m nearest pivots of each row of x, nearest first."""
-    d = (pivots**2).sum(1)[None, :] - 2 * (x @ pivots.T)
+    """The indices of the m nearest pivots of each row of x, nearest first, the smaller index of equally near ones."""
     m = min(m, len(pivots))
-    top = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(pivots) else np.tile(np.arange(len(pivots)), (len(x), 1))
-    return np.take_along_axis(top, np.argsort(np.take_along_axis(d, top, 1), axis=1, kind="stable"), 1)
+    out = np.empty((len(x), m), np.int64)
+    norm = (pivots**2).sum(1)[None, :]
+    for s in range(0, len(x), 1024):
+        d = norm - 2 * (x[s : s + 1024] @ pivots.T)
+        top = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(pivots) else np.tile(np.arange(len(pivots)), (len(d), 1))
+        top.sort(axis=1)
+        out[s : s + 1024] = np.take_along_axis(top, np.argsort(np.take_along_axis(d, top, 1), axis=1, kind="stable"), 1)
+    return out
+
+
+def choose_pivots(sample: np.ndarray, n: int, posts: int = POSTS, rounds: int = 3) -> np.ndarray:
+    """``n`` of the sample's vectors, without those that are among the first pivots of most others, round by round."""
+    keep = np.arange(len(sample))
+    drop = max(0, len(sample) - n)
+    tried = sample[: TRIED]
+    for r in range(rounds):
+        out = drop * (r + 1) // rounds - drop * r // rounds
+        if out:
+            posted = np.bincount(nearest_pivots(tried, sample[keep], posts).ravel(), minlength=len(keep))
+            keep = np.delete(keep, np.argsort(-posted, kind="stable")[:out])
+    return sample[keep]
+
+
+def footrule(places: np.ndarray, permutation: np.ndarray) -> np.ndarray:
+    """The footrule distance of each member from a query over the query's pivots.
+
+    ``places`` has a row a pivot with its place in each member's permutation, or the permutations' length where it isn't
+    in it; ``permutation`` has the row numbers of the query's pivots, nearest first, -1 for those no member has (which
+    count the same for all members and are left out).
+    """
+    own = np.flatnonzero(permutation >= 0)
+    p, rank = places[permutation[own]], own.astype(np.uint8)[:, None]
+    return (np.maximum(p, rank) - np.minimum(p, rank)).sum(0, dtype=np.uint32)
 
 
-def nearest_rows(x: np.ndarray, xid: np.ndarray, q: np.ndarray, qid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, squared distances) of the k rows of x nearest to each row of q, those of its own id excluded, padded with -1.
+def search_file(m: pd.DataFrame, q: pd.DataFrame, dims: int, k: int, reranked: int = RERANKED, share: float = RERANKED_SHARE) -> list[list[tuple[float, str, int]]]:
+    """For each query of ``q`` up to k of the nearest members of ``m`` as (squared distance, rep, cid), nearest first.
 
-    Candidates are taken in single precision; where its error could hide a neighbour, in double precision.
+    Both have (cid, rep, vec, perm), ``m`` sorted by rep, by which ties are broken.
     """
-    idx, dist = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf)
-    if not len(x) or not len(q):
-        return idx, dist
-    middle = x.mean(0, dtype=np.float64)
-    x64, q64 = x - middle, q - middle
-    x32, norm, longest = x64.astype(np.float32), (x64**2).sum(1), np.sqrt((x64**2).sum(1).max())
-    norm32 = norm.astype(np.float32)
-    m, k_out = min(2 * k + 4, len(x)), min(k, len(x))
-    for s in range(0, len(q), 256):
-        part, own = q64[s : s + 256], xid[None, :] == qid[s : s + 256, None]
-        d = norm32 - 2 * (part.astype(np.float32) @ x32.T)
-        d[own] = np.inf
-        few = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(x) else np.broadcast_to(np.arange(len(x)), d.shape)
-        exact = ((x64[few] - part[:, None, :]) ** 2).sum(2)
-        exact[np.take_along_axis(own, few, 1)] = np.inf
-        order = np.lexsort((few, exact), axis=1)[:, :k_out]
-        idx[s : s + 256, :k_out], dist[s : s + 256, :k_out] = np.take_along_axis(few, order, 1), np.take_along_axis(exact, order, 1)
-        if m < len(x):
-            size = (part**2).sum(1)
-            beyond = np.take_along_axis(d, few, 1).max(1) + size - 4 * x.shape[1] * 2.0**-24 * (longest + np.sqrt(size)) ** 2
-            for i in np.flatnonzero(~(beyond > dist[s : s + 256, k_out - 1])):
-                all_d = ((x64 - part[i]) ** 2).sum(1)
-                all_d[own[i]] = np.inf
-                best = np.argsort(all_d, kind="stable")[:k_out]
-                idx[s + i, :k_out], dist[s + i, :k_out] = best, all_d[best]
-    idx[np.isinf(dist)] = -1
-    return idx, dist
-
-
-def search_file(x: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """``nearest_rows`` of the rows ``queries`` of x among all others."""
-    return nearest_rows(x, np.arange(len(x)), x[queries], queries, k)
+    cid, rep, x = m["cid"].to_numpy(), m["rep"].to_numpy(), _rows(m["vec"], dims).astype(np.float64)
+    perm = np.frombuffer(b"".join(m["perm"]), dtype="<u2").reshape(len(m), -1)
+    length = perm.shape[1]
+    known, at = np.unique(perm, return_inverse=True)
+    places = np.full((len(known), len(m)), length, np.uint8)
+    places[at.reshape(perm.shape), np.arange(len(m))[:, None]] = np.arange(length, dtype=np.uint8)[None, :]
+    asked = np.frombuffer(b"".join(q["perm"]), dtype="<u2").reshape(len(q), -1)
+    to = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    to[known[to] != asked] = -1
+    few = max(reranked, int(share * len(m)))
+    y, mine = _rows(q["vec"], dims).astype(np.float64), q["cid"].to_numpy()
+    out = []
+    for i in range(len(q)):
+        others = np.flatnonzero(cid != mine[i]) if few >= len(m) else None
+        if others is None:
+            rank = footrule(places, to[i])
+            rank[cid == mine[i]] = np.iinfo(np.uint32).max
+            others = np.sort(np.argpartition(rank, few - 1)[:few])
+            others = others[cid[others] != mine[i]]
+        d = ((x[others] - y[i]) ** 2).sum(1)
+        best = np.argsort(d, kind="stable")[:k]
+        if len(others) < len(m) - 1 and len(best) and d[best[-1]] > CONTRAST**2 * np.median(d):
+            others = np.flatnonzero(cid != mine[i])
+            d = ((x[others] - y[i]) ** 2).sum(1)
+            best = np.argsort(d, kind="stable")[:k]
+        out.append([(float(d[b]), rep[others[b]], int(cid[others[b]])) for b in best])
+    return out
 
 
 def _sample(df: DataFrame, n: int, total: int, salt: str) -> np.ndarray:
     """The vectors of at most ``n`` classes, the same for the same classes."""
     rows = sorted(hash_sample(df.select("vec", "cid"), n, total, "cid", salt).collect(), key=lambda r: r["cid"])[:n] or df.select("vec").limit(n).collect()
-    return np.stack([np.frombuffer(r["vec"], dtype="<f4") for r in rows])
+    x = np.stack([np.frombuffer(r["vec"], dtype="<f4") for r in rows])
+    return x[np.random.default_rng(7).permutation(len(x))]
+
 
+def index_classes(classes: DataFrame, dims: int, n: int) -> DataFrame:
+    """(cid, rep, vec, perm, files): each class with its permutation and the files it is posted in.
+
+    What is collected and broadcast are pivots and candidates for them, at most ``CANDIDATES`` x ``MOST_PIVOTS``.
+    """
+    wanted = max(LEAST_PIVOTS, min(MOST_PIVOTS, n // PER_PIVOT))
+    shared = classes.sparkSession.sparkContext.broadcast(choose_pivots(_sample(classes, int(CANDIDATES * wanted), n, "pivot"), wanted))
 
-def _post_first(classes: DataFrame, pivots: np.ndarray, dims: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            near = nearest_pivots(_rows(p["vec"], dims), pivots, 1)
-            yield pd.DataFrame({"file": [str(f) for f in near[:, 0]], "cid": p["cid"], "vec": p["vec"]})
+            near = nearest_pivots(_rows(p["vec"], dims), shared.value, LENGTH).astype("<u2")
+            yield p.assign(perm=[r.tobytes() for r in near], files=[r[:POSTS].tolist() for r in near])
 
-    return classes.select("cid", "vec").mapInPandas(run, "file string, cid bigint, vec binary")
+    return spread(classes.select("cid", F.col("ids")[0].alias("rep"), "vec")).mapInPandas(run, "cid bigint, rep string, vec binary, perm binary, files array<int>")
 
 
-def _post_again(posted: DataFrame, children: dict[str, np.ndarray], dims: int) -> DataFrame:
-    """The members of the files in ``children`` under their files' own pivots."""
+def blocks_of(posted: DataFrame, file_rows: int = FILE) -> DataFrame:
+    """``posted`` (file, role, ...) with (ask, hold): what each pair of blocks of each file gets.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            for file, part in p.groupby("file", sort=False):
-                near = nearest_pivots(_rows(part["vec"], dims), children[file], 1)
-                yield pd.DataFrame({"file": [f"{file}.{f}" for f in near[:, 0]], "cid": part["cid"], "vec": part["vec"]})
+    Role 1 asks, 2 is held, 3 both.  No pair of blocks has many more than 2 x ``file_rows`` rows.
+    """
+    sizes = posted.groupBy("file").count().where(F.col("count") > file_rows)
+    large = sizes.select("file", F.ceil(F.col("count") / file_rows).cast("int").alias("blocks"))
+    cut = posted.join(F.broadcast(large), "file", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # at most a row a pivot
+    cut = cut.withColumn("at", F.pmod(F.xxhash64("cid", F.lit("block")), F.col("blocks")).cast("int")).withColumn("by", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    step = lambda ask, hold, role: F.struct(F.col(ask).alias("ask"), F.col(hold).alias("hold"), role.alias("role"))
+    once = F.array(step("at", "at", F.col("role")))
+    asks, held = F.array(step("at", "by", F.lit(1))), F.array(step("by", "at", F.lit(2)))
+    roles = F.when(F.col("at") == F.col("by"), once).when(F.col("role") == 1, asks).when(F.col("role") == 2, held).otherwise(F.concat(asks, held))
+    return cut.withColumn("roles", roles).drop("role", "at", "by", "blocks").select("*", F.inline("roles")).drop("roles")
 
-    return posted.mapInPandas(run, "file string, cid bigint, vec binary")
 
+_BEST = "array<struct<dist:double,rep:string,other:bigint>>"
 
-def inverted_files(classes: DataFrame, dims: int, n: int, file_rows: int = FILE) -> DataFrame:
-    """(file, cid, vec): every class under its nearest pivot, no file with many more than ``file_rows`` members.
 
-    Only pivots are collected: at most ``MOST_PIVOTS``, then at most ``CHILDREN`` for each file that is too large.
-    """
-    posted = durable(_post_first(spread(classes), _sample(classes, max(LEAST_PIVOTS, min(MOST_PIVOTS, n // PER_PIVOT)), n, "pivot"), dims))
-    done = []
-    for level in range(LEVELS):
-        large = [r["file"] for r in posted.groupBy("file").count().where(F.col("count") > file_rows).collect()]
-        if not large:
-            break
-        big = F.col("file").isin(large)
-        done.append(posted.where(~big))
-        chosen = posted.where(big).withColumn("_r", F.row_number().over(Window.partitionBy("file").orderBy(F.xxhash64("cid", F.lit(level)), "cid"))).where(F.col("_r") <= CHILDREN)
-        children: dict[str, list] = {}
-        for r in chosen.select("file", "vec").collect():
-            children.setdefault(r["file"], []).append(np.frombuffer(r["vec"], dtype="<f4"))
-        posted = durable(_post_again(posted.where(big), {f: np.stack(c) for f, c in children.items()}, dims))
-    for d in done:
-        posted = posted.unionByName(d)
-    return posted
-
-
-def file_balls(files: DataFrame, dims: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(names, centres, radii, members) of the files, of which there are as many as pivots."""
+def _searched(posted: DataFrame, dims: int, k: int, file_rows: int, share: float) -> DataFrame:
+    """(cid, best): what each file of ``posted`` (file, role, cid, rep, vec, perm) answers to the queries in it."""
+
+    def answer(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("rep", kind="stable")
+        m, q = p[p["role"] != 1], p[p["role"] != 2]
+        found = search_file(m, q, dims, k, share=share) if len(m) and len(q) else [[] for _ in range(len(q))]
+        return pd.DataFrame({"cid": q["cid"].to_numpy(), "best": pd.Series([[{"dist": d, "rep": r, "other": o} for d, r, o in b] for b in found], dtype=object)})
+
+    return blocks_of(posted, file_rows).groupBy("file", "ask", "hold").applyInPandas(answer, f"cid bigint, best {_BEST}")
+
+
+def _merged(answers: DataFrame, k: int) -> DataFrame:
+    return answers.groupBy("cid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
+
+
+def _prove(indexed: DataFrame, near: DataFrame, dims: int, k: int, file_rows: int) -> DataFrame:
+    """``near`` made exact: each query is compared with all members of every first pivot's cell that reaches within its
+    k-th distance.  In regions that differ by noise these are all cells, which is quadratic in the size of the region."""
 
     def ball(p: pd.DataFrame) -> pd.DataFrame:
         x = _rows(p["vec"], dims).astype(np.float64)
-        c = x.mean(0)
-        return pd.DataFrame({"file": [p["file"].iloc[0]], "n": [len(x)], "centre": [c.tobytes()], "radius": [float(np.sqrt(((x - c) ** 2).sum(1).max()))]})
-
-    rows = sorted(files.groupBy("file").applyInPandas(ball, "file string, n bigint, centre binary, radius double").collect(), key=lambda r: r["file"])
-    return [r["file"] for r in rows], np.stack([np.frombuffer(r["centre"]) for r in rows]), np.array([r["radius"] for r in rows]), np.array([r["n"] for r in rows])
-
-
-def tiles_of(centres: np.ndarray, members: np.ndarray, tile_rows: int) -> np.ndarray:
-    """The tile of each file: files near each other, with at most ``tile_rows`` members in all unless a file has more."""
-    seeds = centres[:: max(1, int(len(centres) * tile_rows / members.sum()))]
-    near = nearest_pivots(centres, seeds, 1)[:, 0]
-    tile, now, held, last = np.zeros(len(centres), np.int64), -1, 0, -1
-    for f in np.lexsort((((centres - seeds[near]) ** 2).sum(1), near)):
-        if near[f] != last or held + members[f] > tile_rows:
-            now, held, last = now + 1, 0, near[f]
-        tile[f], held = now, held + members[f]
-    return tile
-
-
-def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Distances with an error far below the slack of ``reaching``."""
-    middle = centres.mean(0)
-    x, c = x.astype(np.float64) - middle, centres - middle
-    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * (x @ c.T), 0.0))
-
-
-def reaching(d: np.ndarray, radii: np.ndarray, bound: np.ndarray) -> np.ndarray:
-    """For each query (row of ``d``, its distances from the centres) the files that may hold a vector within ``bound``."""
-    return d - radii[None, :] <= bound[:, None] + 1e-6 * (1 + d + radii[None, :])
-
-
-def _search(asks: DataFrame, members: DataFrame, dims: int, k: int) -> DataFrame:
-    """(cid, vec, tile, best): for each query of ``asks`` (tile, cid, vec) the k nearest in its tile, no task with many more than ``ASKED`` queries."""
-    parts = [(r["tile"], -(-r["count"] // ASKED)) for r in asks.groupBy("tile").count().collect()]
-    cut = F.broadcast(asks.sparkSession.createDataFrame(parts, "tile bigint, parts int"))  # a row a tile
-    asked = asks.join(cut, "tile").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    copies = members.join(cut, "tile").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-
-    def answer(m: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        m = m.sort_values("cid", kind="stable")
-        cid, mine = m["cid"].to_numpy(), q["cid"].to_numpy()
-        idx, dist = nearest_rows(_rows(m["vec"], dims), cid, _rows(q["vec"], dims), mine, k) if len(m) and len(q) else (np.empty((0, k), np.int64), np.empty((0, k)))
-        keep = idx >= 0
-        others, dists = [cid[i[e]] for i, e in zip(idx, keep)], [d[e] for d, e in zip(dist, keep)]
-        return pd.DataFrame({"cid": mine[: len(idx)], "vec": q["vec"].iloc[: len(idx)].to_numpy(), "tile": q["tile"].iloc[: len(idx)].to_numpy(), "others": pd.Series(others, dtype=object), "dists": pd.Series(dists, dtype=object)})
-
-    found = copies.select("tile", "part", "cid", "vec").groupBy("tile", "part").cogroup(asked.select("tile", "part", "cid", "vec").groupBy("tile", "part"))
-    answers = found.applyInPandas(answer, "cid bigint, vec binary, tile bigint, others array<bigint>, dists array<double>")
-    return answers.select("cid", "vec", "tile", F.transform(F.arrays_zip("dists", "others"), lambda x: F.struct(x["dists"].alias("dist"), x["others"].alias("other"))).alias("best"))
-
-
-def nearest_classes(classes: DataFrame, dims: int, k: int, n: int, file_rows: int = FILE) -> DataFrame:
-    """(cid, other, dist): the k nearest other classes of each class (cid BIGINT, vec BINARY of floats)."""
-    spark = classes.sparkSession
-    files = inverted_files(classes, dims, n, file_rows)
-    names, centres, radii, counts = file_balls(files, dims)
-    tiles = tiles_of(centres, counts, file_rows)
-    shared = spark.sparkContext.broadcast((centres, radii, tiles))
-    where = F.broadcast(spark.createDataFrame([(f, int(t)) for f, t in zip(names, tiles)], "file string, tile bigint"))
-    members = durable(files.join(where, "file").select("tile", "cid", "vec"))
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, _, tiles = shared.value
-        for p in batches:
-            near = tiles[nearest_pivots(_rows(p["vec"], dims).astype(np.float64), centres, VISITS)]
-            visits = [sorted({t, *v}) for t, v in zip(p["tile"], near.tolist())]
-            times = [len(v) for v in visits]
-            yield pd.DataFrame({"tile": np.concatenate(visits).astype(np.int64), "cid": np.repeat(p["cid"].to_numpy(), times), "vec": p["vec"].repeat(times).to_numpy()})
-
-    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, radii, tiles = shared.value
+        c = x[0] if len(x) < 2 else x.mean(0)
+        return pd.DataFrame({"file": [p["file"].iloc[0]], "centre": [c.tobytes()], "radius": [float(np.sqrt(((x - c) ** 2).sum(1).max()))]})
+
+    cells = indexed.withColumn("file", F.col("files")[0]).drop("files")
+    salted = cells.withColumn("_s", F.pmod(F.xxhash64("cid"), F.lit(16)))  # a large cell is several balls
+    balls = salted.groupBy("file", "_s").applyInPandas(ball, "file int, centre binary, radius double").collect()  # at most 16 a pivot
+    shared = indexed.sparkSession.sparkContext.broadcast((np.array([r["file"] for r in balls]), np.stack([np.frombuffer(r["centre"]) for r in balls]), np.array([r["radius"] for r in balls])))
+    bounded = cells.drop("file").join(near.select("cid", F.try_element_at("best", F.lit(k))["dist"].alias("bound")), "cid", "left")
+
+    def reaching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, centres, radii = shared.value
+        norm = (centres**2).sum(1)[None, :]
         for p in batches:
             for s in range(0, len(p), 512):
                 part = p.iloc[s : s + 512]
-                bound = np.array([np.inf if b is None or np.isnan(b) else b for b in part["bound"]]) ** 0.5
-                row, file = np.nonzero(reaching(_distances(_rows(part["vec"], dims), centres), radii, bound))
-                asked = np.unique(np.stack([row, tiles[file]], 1), axis=0)
-                asked = asked[[t not in v for v, t in zip(map(set, part["tiles"].iloc[asked[:, 0]]), asked[:, 1])]] if len(asked) else asked
-                yield pd.DataFrame({"tile": asked[:, 1], "cid": part["cid"].to_numpy()[asked[:, 0]], "vec": part["vec"].to_numpy()[asked[:, 0]]})
+                x = _rows(part["vec"], dims).astype(np.float64)
+                bound = np.sqrt(part["bound"].astype(float).fillna(np.inf).to_numpy())
+                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + norm - 2 * (x @ centres.T), 0))
+                i, j = np.nonzero(d - radii[None, :] <= bound[:, None] + 1e-6 * (1 + d + radii[None, :]))
+                pairs = np.unique(np.stack([i, file[j]], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+                yield part.iloc[pairs[:, 0]][["cid", "rep", "vec", "perm"]].assign(file=pairs[:, 1].astype(np.int32), role=np.int32(1))
+
+    asks = durable(bounded.select("cid", "rep", "vec", "perm", "bound").mapInPandas(reaching, "cid bigint, rep string, vec binary, perm binary, file int, role int"))
+    more = _searched(asks.unionByName(cells.withColumn("role", F.lit(2))), dims, k, file_rows, 1.0)
+    return _merged(near.union(more), k)
+
 
-    asks = "tile bigint, cid bigint, vec binary"
-    merged = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)
-    seen = durable(_search(durable(members.mapInPandas(first, asks)), members, dims, k).groupBy("cid").agg(F.first("vec").alias("vec"), F.collect_set("tile").alias("tiles"), merged.alias("best")))
-    bounded = seen.select("cid", "vec", "tiles", F.try_element_at("best", F.lit(k))["dist"].alias("bound"))
-    more = _search(durable(bounded.mapInPandas(rest, asks)), members, dims, k)
-    best = seen.select("cid", "best").union(more.select("cid", "best")).groupBy("cid").agg(merged.alias("best"))
-    return best.select("cid", F.inline("best")).select("cid", "other", "dist")
+def nearest_classes(classes: DataFrame, dims: int, k: int, n: int, file_rows: int = FILE, exact: bool = False) -> DataFrame:
+    """(cid, best): up to k of the nearest other classes of each class (cid, vec, ids) as an array of (dist, rep, other)."""
+    indexed = durable(index_classes(classes, dims, n))
+    posted = indexed.withColumn("file", F.explode("files")).drop("files").withColumn("role", F.lit(3))
+    near = _merged(_searched(posted, dims, k, file_rows, RERANKED_SHARE), k)
+    return _prove(indexed, durable(near), dims, k, file_rows) if exact else near
 
 
-def nearest_vectors(df: DataFrame, k: int = 10, dims: int = 64, id: str = "id", v: str = "v", file_rows: int = FILE) -> DataFrame:
-    """(id, other, dist, rank): the k nearest other ids of every usable vector by Euclidean distance.
+def nearest_vectors(df: DataFrame, k: int = 10, dims: int = 64, id: str = "id", v: str = "v", file_rows: int = FILE, exact: bool = False) -> DataFrame:
+    """(id, other, dist, rank): the k nearest other ids of every usable vector by Euclidean distance, with little loss.
 
     Equal distances go to the smaller id.  Rows without an id, with a null, short or empty vector or with numbers that
     aren't finite don't take part; repeated rows count once; other columns are ignored.  With fewer than k others, all
-    are returned; an empty input gives an empty result.
+    are returned; an empty input gives an empty result.  With ``exact`` the index's answers are proven and completed,
+    at a cost that is quadratic in the size of regions of mere noise.
     """
     ids = usable(df, dims, id, v)
 
@@ -254,7 +241,7 @@ def nearest_vectors(df: DataFrame, k: int = 10, dims: int = 64, id: str = "id",
     n = classes.count()
     if n == 0:
         return df.sparkSession.createDataFrame([], "id string, other string, dist double, rank int")
-    near = nearest_classes(classes, dims, k, n, file_rows).union(classes.select("cid", "cid", F.lit(0.0)))
+    near = nearest_classes(classes, dims, k, n, file_rows, exact).select("cid", F.inline("best")).select("cid", "other", "dist").union(classes.select("cid", "cid", F.lit(0.0)))
     named = near.join(classes.select(F.col("cid").alias("other"), "ids"), "other").select("cid", "dist", F.explode("ids").alias("id"))
     lists = named.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "id"))), 1, k + 1).alias("best"))
     mine = tagged.select("cid", F.col("id").alias("me")).join(lists, "cid").select("me", F.slice(F.filter("best", lambda x: x["id"] != F.col("me")), 1, k).alias("best"))
