@@ -29,8 +29,8 @@ from ..session import durable, spread
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 100, 8, 32_768
 #: Candidates for each pivot, and how many rows of the sample they are tried on at most.
 CANDIDATES, TRIED = 1.5, 8192
-#: Pivots of a permutation; files a vector is posted in.
-LENGTH, POSTS = 48, 8
+#: Pivots of a permutation, those of them a query counts the footrule over; files a vector is posted in.
+LENGTH, ASKED, POSTS = 48, 32, 8
 #: Members of a file that are reranked by their true distances: so many, and this share of the file.
 RERANKED, RERANKED_SHARE = 200, 0.25
 #: The whole file is reranked if the k-th distance is above this part of the median of those of the reranked.
@@ -84,7 +84,8 @@ def footrule(places: np.ndarray, permutation: np.ndarray) -> np.ndarray:
     """
     own = np.flatnonzero(permutation >= 0)
     p, rank = places[permutation[own]], own.astype(np.uint8)[:, None]
-    return (np.maximum(p, rank) - np.minimum(p, rank)).sum(0, dtype=np.uint32)
+    high = np.maximum(p, rank)
+    return np.subtract(high, np.minimum(p, rank, out=p), out=high).sum(0, dtype=np.uint16)
 
 
 def search_file(m: pd.DataFrame, q: pd.DataFrame, dims: int, k: int, reranked: int = RERANKED, share: float = RERANKED_SHARE) -> list[list[tuple[float, str, int]]]:
@@ -93,31 +94,41 @@ def search_file(m: pd.DataFrame, q: pd.DataFrame, dims: int, k: int, reranked: i
     Both have (cid, rep, vec, perm), ``m`` sorted by rep, by which ties are broken.
     """
     cid, rep, x = m["cid"].to_numpy(), m["rep"].to_numpy(), _rows(m["vec"], dims).astype(np.float64)
-    perm = np.frombuffer(b"".join(m["perm"]), dtype="<u2").reshape(len(m), -1)
-    length = perm.shape[1]
-    known, at = np.unique(perm, return_inverse=True)
-    places = np.full((len(known), len(m)), length, np.uint8)
-    places[at.reshape(perm.shape), np.arange(len(m))[:, None]] = np.arange(length, dtype=np.uint8)[None, :]
-    asked = np.frombuffer(b"".join(q["perm"]), dtype="<u2").reshape(len(q), -1)
-    to = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-    to[known[to] != asked] = -1
-    few = max(reranked, int(share * len(m)))
     y, mine = _rows(q["vec"], dims).astype(np.float64), q["cid"].to_numpy()
+    middle = x.mean(0)
+    x32, y32 = (x - middle).astype(np.float32), (y - middle).astype(np.float32)
+    norm = (x32**2).sum(1)
+    few = max(reranked, int(share * len(m)))
+    if few < len(m):
+        perm = np.frombuffer(b"".join(m["perm"]), dtype="<u2").reshape(len(m), -1)
+        known, at = np.unique(perm, return_inverse=True)
+        places = np.full((len(known), len(m)), perm.shape[1], np.uint8)
+        places[at.reshape(perm.shape), np.arange(len(m))[:, None]] = np.arange(perm.shape[1], dtype=np.uint8)[None, :]
+        asked = np.frombuffer(b"".join(q["perm"]), dtype="<u2").reshape(len(q), -1)[:, :ASKED]
+        to = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        to[known[to] != asked] = -1
+    every, n_best = np.arange(len(m)), 2 * k + 4
     out = []
+
+    def nearest(i: int, others: np.ndarray) -> tuple[list, np.ndarray]:
+        """The best of ``others``: taken in single precision with some to spare, then by their exact distances."""
+        rough = norm[others] - 2 * (x32[others] @ y32[i])
+        rough[cid[others] == mine[i]] = np.inf
+        near = others[np.argpartition(rough, n_best)[:n_best]] if len(others) > n_best else others
+        near = np.sort(near[cid[near] != mine[i]])
+        d = ((x[near] - y[i]) ** 2).sum(1)
+        order = np.argsort(d, kind="stable")[:k]
+        return [(float(d[b]), rep[near[b]], int(cid[near[b]])) for b in order], rough
+
     for i in range(len(q)):
-        others = np.flatnonzero(cid != mine[i]) if few >= len(m) else None
-        if others is None:
-            rank = footrule(places, to[i])
-            rank[cid == mine[i]] = np.iinfo(np.uint32).max
-            others = np.sort(np.argpartition(rank, few - 1)[:few])
-            others = others[cid[others] != mine[i]]
-        d = ((x[others] - y[i]) ** 2).sum(1)
-        best = np.argsort(d, kind="stable")[:k]
-        if len(others) < len(m) - 1 and len(best) and d[best[-1]] > CONTRAST**2 * np.median(d):
-            others = np.flatnonzero(cid != mine[i])
-            d = ((x[others] - y[i]) ** 2).sum(1)
-            best = np.argsort(d, kind="stable")[:k]
-        out.append([(float(d[b]), rep[others[b]], int(cid[others[b]])) for b in best])
+        if few >= len(m):
+            out.append(nearest(i, every)[0])
+            continue
+        best, rough = nearest(i, np.argpartition(footrule(places, to[i]), few)[:few])
+        middling = np.partition(rough, few // 2)[few // 2] + (y32[i] ** 2).sum()
+        if best and best[-1][0] > CONTRAST**2 * middling:
+            best = nearest(i, every)[0]
+        out.append(best)
     return out
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arborsig.llm.simclusters import describe_clusters, similarity_clusters
+from arborsig.llm.simclusters import describe_clusters, flips, markov_clusters, probing, similarity_clusters
 from arborsig.llm.vectorknn import footrule, nearest_vectors, neighbour_pairs, blocks_of
 
 SIG = "id string, sig array<bigint>, cluster_id int, flow int"
@@ -40,17 +40,41 @@ def model(rows, t=24):
     return {(min(rows[j][0] for j in adj[i] | {i}), rows[i][0]) for i in range(n) if adj[i] and all(adj[j] | {j} == adj[i] | {i} for j in adj[i])}
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_clusters_equal_the_model(spark, block):
+@pytest.mark.parametrize("block, probe", [(4096, None), (7, 0), (4096, 1), (64, 1)])
+def test_clusters_equal_the_model(spark, block, probe):
     rows = planted(1, [2, 2, 3, 5, 8, 40])
     rows += [(f"t{i}", rows[0][1]) for i in range(30)]  # many copies of one
     df = spark.createDataFrame([(i, signed(x), 1, 2) for i, x in rows] + [(rows[0][0], signed(rows[0][1]), 1, 2), (None, signed(5), 1, 2), ("u", None, 1, 2), ("v", [], 1, 2), ("w", [1, 2], 1, 2), ("x", [1, None, 2, 3], 1, 2)], SIG)
-    found = similarity_clusters(df, block=block)
+    found = similarity_clusters(df, block=block, probe=probe)
     assert {(r["cluster_id"], r["id"]) for r in found.collect()} == model(rows)
     sizes = {r["cluster_id"]: r for r in describe_clusters(found).collect()}
     assert all(len(r["typical_ids"]) == min(3, r["size"]) for r in sizes.values())
 
 
+def test_typical_members_are_the_nearest_to_all_others(spark):
+    r = random.Random(5)
+    rows = []
+    for c in range(6):
+        base = r.getrandbits(256)
+        rows += [(f"a{c}{i}", near(r, base, 11)) for i in range(7)] + [(f"z{c}", base)]
+    found = similarity_clusters(spark.createDataFrame([(i, signed(x), 1, 2) for i, x in rows], SIG))
+    shown = describe_clusters(found).collect()
+    assert len(shown) == 6 and all(s["size"] == 8 and s["typical_ids"][0] == f"z{s['cluster_id'][1]}" for s in shown)
+    assert all(abs(x["sum(flow)"] - 1) < 1e-9 for x in found.groupBy("cluster_id").sum("flow").collect())
+
+
+def test_flow_parts_groups_that_a_single_link_joins(spark):
+    groups = [range(0, 6), range(10, 16)]
+    links = [(a, b, 10.0) for g in groups for a in g for b in g if a != b] + [(5, 10, 1.0), (10, 5, 1.0)]
+    found = {r["cid"]: r["attractor"] for r in markov_clusters(spark.createDataFrame(links, "a bigint, b bigint, w double")).collect()}
+    assert len({found[x] for x in groups[0]}) == 1 and len({found[x] for x in groups[1]}) == 1 and found[0] != found[10]
+
+
+def test_probes_keep_buckets_of_unrelated_signatures_small():
+    assert probing(300_000, 256, 24) == 0 and probing(10**8, 256, 24) == 1 and probing(10**11, 256, 24) == 2
+    assert len(flips(10, 2)) == 1 + 10 + 45
+
+
 def test_nothing_to_cluster(spark):
     assert similarity_clusters(spark.createDataFrame([], SIG)).count() == 0
     assert similarity_clusters(spark.createDataFrame([("a", signed(1), 0, 0)], SIG)).count() == 0
