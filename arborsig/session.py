@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,17 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) a temporary folder is used.
+    Only on a local master, as in tests, is a temporary folder used where the session names none; on a cluster that is
+    an error, as another machine's folder would be lost with it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = os.environ.get("ARBORSIG_CHECKPOINT_DIR") or f"file://{tempfile.mkdtemp(prefix='arborsig-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        made = getattr(sc, "_arborsig_dir", None)
+        if made is None:
+            made = sc._arborsig_dir = tempfile.mkdtemp(prefix="arborsig-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+        named = f"file://{made}"
     return named
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, its lineage cut; survives the loss of an executor."""
+    """``df`` checkpointed in the shared folder, its lineage cut; survives the loss of an executor.  For narrow rows."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -34,6 +43,29 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared folder: as ``durable``, for wide rows of which later steps read parts.
+
+    The session's tables are deleted when the program ends.
+    """
+    spark = df.sparkSession
+    folder = getattr(spark.sparkContext, "_arborsig_tables", None)
+    if folder is None:
+        folder = spark.sparkContext._arborsig_tables = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+        atexit.register(_delete, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended already: its folder is the cluster's to clean up
+        pass
+
+
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for operators bound by CPU.
 
