@@ -1,43 +1,51 @@
 """Main body of web pages by tree scoring, with corpus statistics on containers and repeated lines.
 
 1. Each page is parsed once into units and containers; the result is kept in the shared folder.
-2. Paragraphs pass points for length and commas to their ancestors, discounted by link density.  Over all pages, the
-   mean share of a page's points that containers with a given tag get is that tag's weight.
-   Likewise the words of sentences are gathered: words on many pages in stretches of text that the sample sentences'
+2. Paragraphs pass points for length and commas to their ancestors, discounted by link density.  The mean share of a
+   page's points that containers with a given tag get is that tag's weight: on the page's host, drawn towards the mean
+   over all hosts.  Likewise the words of sentences are gathered: words in stretches of text that the sample sentences'
    words already mark as sentences.
-3. Lines (numbers, the site's name and what follows a short lead-in left out) that recur on many distinct pages, mostly
-   in containers of little weight, are furniture: notices, teasers, menus.  Copies of an article count as one page.
+3. Lines (numbers, the site's name and what follows a short lead-in left out) that recur on a host's distinct pages, or
+   on those of several hosts and on a good part of their pages, are furniture if they stand mostly in containers with
+   a small share of the points: notices, teasers, menus.  Copies of an article count as one page.
 4. On each page the container with the most points, discounted by its links and furniture and weighed by its tag, is
    kept, with siblings that come near it; furniture inside is left out.
 
-Statistics are taken over all pages.  What is broadcast are lines and tags on at least a fixed share of pages, hence at
-most (units of a page / share) of them, however many pages there are.
+Statistics are taken over all pages.  What is said of lines and tags is said host by host, relative to the host's own
+pages, so a site's result doesn't depend on how many others there are.  It reaches the pages in a row a host, whose size
+is bounded by the shares below, through a join that is a broadcast only if the rows are small.
 """
 
 from __future__ import annotations
 
 import marshal
 import re
-import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import durable, spread
+from ..session import spread, stored
 from .page import HEADINGS, Page, declared_charset, parse, readable
 
-#: A line recurs if it is on this share of the distinct pages, and on at least so many.
-LINE_SHARE, LINE_PAGES = 0.002, 8
-#: A tag's weight is taken from the corpus if it is on this share of pages, else it is DEFAULT_WEIGHT.
-TAG_SHARE, DEFAULT_WEIGHT = 0.001, 0.25
-#: A recurring line is furniture if the mean weight of the containers it stands in is below this.
+#: A line recurs on a host if it is on this share of the host's distinct pages, and on at least so many.
+LINE_SHARE, LINE_PAGES = 0.01, 4
+#: It recurs beyond a host if it is on so many distinct pages of so many hosts, and on this share of those hosts' pages.
+WIDE_PAGES, WIDE_HOSTS, WIDE_SHARE = 8, 2, 0.02
+#: A recurring line is furniture if its containers' mean share of their pages' points is below this.
 FURNITURE_WEIGHT = 0.4
-#: A word belongs to the vocabulary of sentences if it is in marked ones on this share of pages and at least so many.
-WORD_SHARE, WORD_PAGES = 0.0005, 4
-#: It must be in marked sentences in this share of its pages' mentions.
-WORD_INSIDE = 0.35
+#: A tag has a weight of its own if it is on this share of the host's pages, else DEFAULT_WEIGHT.
+TAG_SHARE, DEFAULT_WEIGHT = 0.005, 0.25
+#: How many pages the wider level's weight of a tag counts as.
+TAG_PRIOR = 4.0
+#: The vocabulary of sentences: the words in marked sentences on at least so many pages, and on this share of all pages
+#: with the word; of these the ones on most pages, up to a number that bounds what is broadcast.
+WORD_PAGES, WORD_INSIDE, VOCABULARY = 4, 0.35, 500_000
+#: Characters up to which a unit's mass grows, so that a single long one doesn't decide where the body is.
+UNIT_MASS = 2000
+#: A menu is shorter than this.
+MENU_CHARS = 400
 #: A sibling of the best container is kept as well from this part of its score on.
 SIBLING = 0.6
 #: The part of a container's points that its parent gets.
@@ -59,13 +67,18 @@ def host_of(uri: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def hashed(text: str) -> int:
+    """A signed 64-bit hash that is the same everywhere."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def fingerprint(text: str, host: str) -> int:
     """What a line and others made from the same template have in common, as a number."""
     t = text.lower()
     if host:
         t = t.replace(host, "\x01")
     m = _LEAD.match(t)
-    return zlib.crc32((m[1] if m else _DIGITS.sub("0", t)).encode("utf-8", "replace"))
+    return hashed(m[1] if m else _DIGITS.sub("0", t))
 
 
 def is_menu(text: str) -> bool:
@@ -73,7 +86,7 @@ def is_menu(text: str) -> bool:
     if not _NAV.search(text):
         return False
     pieces = _NAV.split(text)
-    return sum(len(p.split()) <= 4 for p in pieces) * 2 > len(pieces) and len(text) < 400
+    return sum(len(p.split()) <= 4 for p in pieces) * 2 > len(pieces) and len(text) < MENU_CHARS
 
 
 def unit_points(text: str, linked: int, hidden: bool) -> float:
@@ -109,23 +122,24 @@ def body_hash(page: Page, points: list[float], host: str) -> int:
         inside[i] = inside[page.nodes[i].parent]
     own = [u.text for u in page.units if inside[u.node] or u.tag == "h1"]
     text = "\n".join(own)
-    return int.from_bytes(blake2b((text.replace(host, "\x01") if host else text).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+    return hashed(text.replace(host, "\x01") if host else text)
 
 
 def parse_pages(records: DataFrame, samples: frozenset[int] = frozenset()) -> DataFrame:
-    """(row_id, host, label, title, body, fps, fsigs, sigs, shares, words, blob): the parsed pages among ``records``.
+    """(row_id, host, label, body, fps, fshares, sigs, shares, words, blob): the parsed pages among ``records``.
 
     A page is a record whose metadata has ``warc-trec-id`` and whose content isn't null or empty; others give no row.
-    ``body`` is the same for copies of an article; ``fps`` and ``fsigs`` have a unit's fingerprint and its container's tag, ``sigs`` and ``shares`` a container's tag
-    and its share of the page's points, ``words`` the checksums (plus 1) of the words of
-    sentences, as marked by the words ``samples``, and negated those of words elsewhere.
+    ``body`` is the same for copies of an article; ``fps`` and ``fshares`` have a unit's fingerprint and its container's
+    share of the page's points, ``sigs`` and ``shares`` a container's tag and its share, ``words`` the hashes of the
+    words of sentences, as marked by the words ``samples``, and ``others`` those of words elsewhere.
     """
     m = F.col("metadata")
     pages = records.where(F.col("row_id").isNotNull() & m["warc-trec-id"].isNotNull() & (F.octet_length("content") > 0))
     pages = spread(pages.select("row_id", m["warc-target-uri"].alias("uri"), m["content-type"].alias("type"), m["content-language"].alias("label"), "content"))
+    names = ["row_id", "host", "label", "body", "fps", "fshares", "sigs", "shares", "words", "others", "blob"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, sums = Vocabulary(samples), Checksums()
+        vocabulary, hashes = Vocabulary(samples), Hashes()
         for b in batches:
             out = []
             for row_id, uri, kind, label, content in zip(b["row_id"], b["uri"], b["type"], b["label"], b["content"]):
@@ -134,38 +148,59 @@ def parse_pages(records: DataFrame, samples: frozenset[int] = frozenset()) -> Da
                 each = [unit_points(u.text, u.linked, u.hidden) for u in p.units]
                 points = subtree_sums(p, each, PASSED)
                 fp = [fingerprint(u.text, host) for u in p.units]
-                held = [container_of(p, u.node) for u in p.units]
-                own = {f: p.nodes[h].sig for f, h in zip(fp, held)}
                 total = sum(each) or 1.0
-                nodes = [i for i in range(1, len(p.nodes)) if points[i] > 0 or p.nodes[i].children or p.nodes[i].units > 1]
+                held = [container_of(p, u.node) for u in p.units]
+                own = {f: points[h] / total if h else 0.0 for f, h in zip(fp, held)}
+                nodes = {n.sig: points[i] / total for i, n in enumerate(p.nodes) if i and (points[i] > 0 or n.children or n.units > 1)}
                 blob = marshal.dumps(([(u.node, u.tag, u.text, u.lines, u.linked, u.hidden, u.links) for u in p.units], [(n.name, n.sig, n.parent, n.units, n.children) for n in p.nodes], fp, p.lang))
                 yes, no = stretch_words(p, vocabulary)
-                words = [1 + k for k in set(map(sums.__getitem__, yes))] + [-1 - k for k in set(map(sums.__getitem__, no))]
-                out.append((row_id, host, label, p.title, body_hash(p, points, host), list(own), list(own.values()), [p.nodes[i].sig for i in nodes], [points[i] / total for i in nodes], words, blob))
-            yield pd.DataFrame(out, columns=["row_id", "host", "label", "title", "body", "fps", "fsigs", "sigs", "shares", "words", "blob"])
-
-    return pages.mapInPandas(run, "row_id bigint, host string, label string, title string, body bigint, fps array<bigint>, fsigs array<bigint>, sigs array<bigint>, shares array<float>, words array<bigint>, blob binary")
+                out.append((row_id, host, label, body_hash(p, points, host), list(own), list(own.values()), list(nodes), list(nodes.values()), list(set(map(hashes.__getitem__, yes))), list(set(map(hashes.__getitem__, no))), blob))
+            yield pd.DataFrame(out, columns=names)
 
+    return pages.mapInPandas(run, "row_id bigint, host string, label string, body bigint, fps array<bigint>, fshares array<float>, sigs array<bigint>, shares array<float>, words array<bigint>, others array<bigint>, blob binary")
 
-def tag_weights(parsed: DataFrame, n: int) -> dict[int, float]:
-    """The mean share of a page's points of containers with each tag that is on at least ``TAG_SHARE`` of the pages."""
-    each = parsed.select(F.explode(F.arrays_zip("sigs", "shares")).alias("s")).select(F.col("s.sigs").alias("sig"), F.col("s.shares").alias("share"))
-    rows = each.groupBy("sig").agg(F.count("*").alias("n"), F.avg("share").alias("w")).where(F.col("n") >= max(3, TAG_SHARE * n)).collect()
-    return {r["sig"]: r["w"] for r in rows}
 
+def host_statistics(parsed: DataFrame) -> DataFrame:
+    """(host, known, sigs, weights): a row a host with the fingerprints of its furniture and the weights of its tags.
 
-def furniture(parsed: DataFrame, weights: dict[int, float]) -> frozenset[int]:
-    """The fingerprints of lines that recur on distinct pages and stand mostly in containers of little weight."""
-    spark = parsed.sparkSession
-    least = max(LINE_PAGES, LINE_SHARE * parsed.select("body").distinct().count())
-    # only lines on so many rows can be on so many distinct pages: the rest is left out before pages are told apart
-    often = parsed.select(F.explode("fps").alias("fp")).groupBy("fp").count().where(F.col("count") >= least).select("fp")
-    pairs = parsed.select("body", F.explode(F.arrays_zip("fps", "fsigs")).alias("s")).select("body", F.col("s.fps").alias("fp"), F.col("s.fsigs").alias("sig"))
-    counted = pairs.join(F.broadcast(often), "fp", "left_semi").groupBy("fp", "body").agg(F.min("sig").alias("sig")).groupBy("fp", "sig").count()
-    known = spark.createDataFrame([(int(k), float(v)) for k, v in weights.items()] or [(-1, 0.0)], "sig bigint, w double")  # bounded: see tag_weights
-    weighed = counted.join(F.broadcast(known), "sig", "left").withColumn("w", F.when(F.col("sig") == 0, 0.0).otherwise(F.coalesce("w", F.lit(DEFAULT_WEIGHT))))
-    lines = weighed.groupBy("fp").agg(F.sum("count").alias("n"), (F.sum(F.col("w") * F.col("count")) / F.sum("count")).alias("w"))
-    return frozenset(r["fp"] for r in lines.where((F.col("n") >= least) & (F.col("w") < FURNITURE_WEIGHT)).select("fp").collect())
+    Each host's pages count by their distinct bodies.  Lines, tags and pages are only ever grouped by hashes with partial
+    sums, so no host or line gathers in one task.
+    """
+    kept = parsed.groupBy("host", "body").agg(F.min("row_id").alias("row_id"))
+    firsts = kept.groupBy("body").agg(F.min("row_id").alias("first"))
+    kept = stored(kept.join(firsts, "body").select("row_id", "host", (F.col("row_id") == F.col("first")).cast("int").alias("first")))
+    pages = stored(kept.groupBy("host").agg(F.count("*").alias("pages")))
+    distinct = parsed.select("row_id", "host", "fps", "fshares", "sigs", "shares").join(kept.select("row_id", "first"), "row_id")
+
+    # lines on a few pages only can't recur: they are left out before hosts are told apart
+    often = stored(parsed.select(F.explode("fps").alias("fp")).groupBy("fp").count().where(F.col("count") >= LINE_PAGES).select("fp"))
+    lines = distinct.select("host", "first", F.inline(F.arrays_zip("fps", "fshares"))).withColumnRenamed("fps", "fp").join(often, "fp", "left_semi")
+    lines = stored(lines.groupBy("fp", "host").agg(F.count("*").alias("n"), F.sum("first").alias("f"), F.sum("fshares").alias("w")).join(pages, "host"))
+    wide = lines.groupBy("fp").agg(F.sum("f").alias("f_all"), F.count("*").alias("hosts"), (F.sum("w") / F.sum("n")).alias("w_all"), (F.sum("n") / F.sum("pages")).alias("share"))
+    here = (F.col("n") >= LINE_PAGES) & (F.col("n") >= LINE_SHARE * F.col("pages")) & (F.col("w") < FURNITURE_WEIGHT * F.col("n"))
+    there = (F.col("f_all") >= WIDE_PAGES) & (F.col("hosts") >= WIDE_HOSTS) & (F.col("share") >= WIDE_SHARE) & (F.col("w_all") < FURNITURE_WEIGHT)
+    known = lines.join(wide, "fp").where(here | there).groupBy("host").agg(F.collect_list("fp").alias("known"))
+
+    tags = distinct.select("host", F.inline(F.arrays_zip("sigs", "shares"))).withColumnRenamed("sigs", "sig").groupBy("sig", "host").agg(F.count("*").alias("n"), F.sum("shares").alias("s"))
+    tags = stored(tags.join(pages, "host").where(F.col("n") >= TAG_SHARE * F.col("pages")).drop("pages"))
+    every = tags.groupBy("sig").agg(((F.sum("s") + TAG_PRIOR * DEFAULT_WEIGHT) / (F.sum("n") + TAG_PRIOR)).alias("wide"))
+    weight = ((F.col("s") + TAG_PRIOR * F.col("wide")) / (F.col("n") + TAG_PRIOR)).cast("float").alias("weight")
+    weights = tags.join(every, "sig").select("host", F.struct("sig", weight).alias("t")).groupBy("host").agg(F.collect_list("t").alias("t"))
+    rows = weights.join(known, "host", "full_outer")
+    return stored(rows.select("host", F.coalesce("known", F.array().cast("array<bigint>")).alias("known"), F.col("t.sig").alias("sigs"), F.col("t.weight").alias("weights")))
+
+
+#: Host statistics with up to so many numbers in all are broadcast; beyond, pages meet them in a shuffle, in so many parts.
+BROADCAST_NUMBERS, HOST_PARTS = 4_000_000, 16
+
+
+def with_host(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``pages`` with their hosts' rows."""
+    numbers = hosts.agg(F.sum(F.size("known") + 2 * F.coalesce(F.size("sigs"), F.lit(0)) + 8)).first()[0] or 0
+    if numbers <= BROADCAST_NUMBERS:
+        return pages.join(F.broadcast(hosts), "host", "left")
+    copies = hosts.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
+    return pages.withColumn("_s", F.pmod(F.xxhash64("row_id"), F.lit(HOST_PARTS)).cast("int")).join(copies, ["host", "_s"], "left").drop("_s")
 
 
 def load(blob: bytes) -> tuple[Page, list[int]]:
@@ -184,7 +219,7 @@ def main_units(page: Page, fp: list[int], weights: dict[int, float], known: froz
     if not units:
         return []
     odd = [f in known or is_menu(u.text) for u, f in zip(units, fp)]
-    size = [min(len(u.text), 2000) for u in units]
+    size = [min(len(u.text), UNIT_MASS) for u in units]
     masses = [0.0 if o else float(s) for o, s in zip(odd, size)]
     worth = [0.0 if o else unit_points(u.text, u.linked, u.hidden) for u, o in zip(units, odd)]
     mass, points = subtree_sums(page, masses, PASSED), subtree_sums(page, worth, PASSED)
@@ -212,18 +247,18 @@ def main_units(page: Page, fp: list[int], weights: dict[int, float], known: froz
     return [k for k, (u, o) in enumerate(zip(units, odd)) if inside[u.node] and not o]
 
 
-class Checksums(dict):
-    """Words to the checksums of their lower-case forms."""
+class Hashes(dict):
+    """Words to the hashes of their lower-case forms."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        k = self[word] = zlib.crc32(word.lower().encode("utf-8", "replace"))
+        k = self[word] = hashed(word.lower())
         return k
 
 
 class Vocabulary(dict):
-    """The words that sentences are made of, given as checksums: 1 for a word among them, else 0."""
+    """The words that sentences are made of, given as hashes: 1 for a word among them, else 0."""
 
     def __init__(self, sums: frozenset[int]):
         super().__init__()
@@ -232,7 +267,7 @@ class Vocabulary(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        k = self[word] = int(zlib.crc32(word.lower().encode("utf-8", "replace")) in self.sums)
+        k = self[word] = int(hashed(word.lower()) in self.sums)
         return k
 
     def known(self, words) -> int:
@@ -278,14 +313,14 @@ def sentence_words(text: str, vocabulary: Vocabulary) -> tuple[int, list[str]]:
     return inside, every
 
 
-FEATURES = ("log_words", "row_share", "hidden_share", "linked_share", "links_per_word", "distinct_share", "separators_per_word", "ends_per_word", "words_per_unit", "capital_share")
+FEATURES = ("log_words", "row_share", "hidden_share", "linked_share", "links_per_word", "distinct_share", "separators_per_word", "ends_per_word", "words_per_unit", "capital_share", "short_share", "repeated_share")
 
 
 def features(page: Page, region: list[int], vocabulary: Vocabulary) -> list[float]:
     """The content and link features of a page's region, in the order of FEATURES."""
     from math import log1p
 
-    total = inside = hidden = linked = chars = links = seps = ends = caps = 0
+    total = inside = hidden = linked = chars = links = seps = ends = caps = short = apart = 0
     seen: set[str] = set()
     for k in region:
         u = page.units[k]
@@ -297,23 +332,25 @@ def features(page: Page, region: list[int], vocabulary: Vocabulary) -> list[floa
         seps += sum(map(u.text.count, ("|", ";", "#", ",", "/")))
         ends += sum(map(u.text.count, ".!?"))
         caps += sum(map(str.isupper, [w[0] for w in words]))
-        seen.update(map(str.lower, words))
+        low = set(map(str.lower, words))
+        apart += len(low)
+        short += sum(len(w) <= 3 for w in words)
+        seen |= low
     t = max(total, 1)
-    return [log1p(total), 1 - inside / t if total else 0.0, hidden / t, linked / max(chars, 1), links / t, len(seen) / t, seps / t, ends / t, total / max(len(region), 1), caps / t]
+    return [log1p(total), 1 - inside / t if total else 0.0, hidden / t, linked / max(chars, 1), links / t, len(seen) / t, seps / t, ends / t, total / max(len(region), 1), caps / t, short / t, (total - apart) / t]
 
 
 def sample_vocabulary(langrefs: DataFrame) -> frozenset[int]:
     """The words of the sample sentences, a table of fixed size."""
-    return frozenset(zlib.crc32(w.lower().encode()) for r in langrefs.select("sample").where(F.col("sample").isNotNull()).collect() for w in _WORD.findall(r["sample"]))
+    return frozenset(hashed(w.lower()) for r in langrefs.select("sample").where(F.col("sample").isNotNull()).collect() for w in _WORD.findall(r["sample"]))
 
 
-def corpus_vocabulary(parsed: DataFrame, n: int) -> frozenset[int]:
-    """The words in marked sentences on at least ``WORD_SHARE`` of the pages, so that their number has a bound, that
-    aren't mostly found elsewhere."""
-    each = parsed.select(F.explode("words").alias("w")).groupBy("w").count()
-    both = each.groupBy((F.abs("w") - 1).alias("word")).agg(F.sum(F.when(F.col("w") > 0, F.col("count")).otherwise(0)).alias("inside"), F.sum("count").alias("total"))
-    kept = both.where((F.col("inside") >= max(WORD_PAGES, WORD_SHARE * n)) & (F.col("inside") >= WORD_INSIDE * F.col("total")))
-    return frozenset(r["word"] for r in kept.select("word").collect())
+def corpus_vocabulary(parsed: DataFrame) -> frozenset[int]:
+    """The words of sentences, at most ``VOCABULARY``: those in marked stretches on most pages that aren't mostly elsewhere."""
+    inside = parsed.select(F.explode("words").alias("word"), F.lit(1).alias("i"))
+    both = inside.union(parsed.select(F.explode("others"), F.lit(0))).groupBy("word").agg(F.sum("i").alias("inside"), F.count("*").alias("total"))
+    kept = both.where((F.col("inside") >= WORD_PAGES) & (F.col("inside") >= WORD_INSIDE * F.col("total")))
+    return frozenset(r["word"] for r in kept.orderBy(F.desc("inside"), "word").limit(VOCABULARY).select("word").collect())
 
 
 def judge_pages(records: DataFrame, langrefs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -325,25 +362,27 @@ def judge_pages(records: DataFrame, langrefs: DataFrame, with_text: bool = False
     """
     spark = records.sparkSession
     samples = sample_vocabulary(langrefs)
-    parsed = durable(parse_pages(records, samples))
-    n = parsed.count()
-    weights = tag_weights(parsed, n)
-    known = furniture(parsed, weights)
-    shared = spark.sparkContext.broadcast((weights, known, samples | corpus_vocabulary(parsed, n)))
+    parsed = stored(parse_pages(records, samples))
+    shared = spark.sparkContext.broadcast(samples | corpus_vocabulary(parsed))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, k, sums = shared.value
-        vocabulary = Vocabulary(sums)
+        vocabulary, weights = Vocabulary(shared.value), {}
         for b in batches:
             out = []
-            for row_id, host, label, blob in zip(b["row_id"], b["host"], b["label"], b["blob"]):
+            for row_id, host, label, blob, known, sigs, ws in zip(b["row_id"], b["host"], b["label"], b["blob"], b["known"], b["sigs"], b["weights"]):
                 page, fp = load(blob)
-                region = main_units(page, fp, w, k)
+                if host not in weights:
+                    if len(weights) >= 1000:
+                        weights.clear()
+                    weights[host] = dict(zip(sigs.tolist(), ws.tolist())) if sigs is not None else {}
+                region = main_units(page, fp, weights[host], frozenset(known.tolist()) if known is not None else frozenset())
                 seen = [u for u in map(page.units.__getitem__, region) if not u.hidden and not (u.links and u.linked >= 0.9 * len(u.text))]
                 lines = sorted({x for u in seen for x in u.lines})
                 text = "\n".join(u.text for u in seen if u.tag not in HEADINGS and u.tag != "b") if with_text else None
                 out.append((row_id, host, label, page.lang, features(page, region, vocabulary), text, lines))
             yield pd.DataFrame(out, columns=["row_id", "host", "label", "html_lang", "features", "text", "lines"])
 
-    judged = parsed.select("row_id", "host", "label", "blob").mapInPandas(run, "row_id bigint, host string, label string, html_lang string, features array<double>, text string, lines array<int>")
+    # of a host's furniture a page needs only its own lines
+    pages = with_host(parsed.select("row_id", "host", "label", "fps", "blob"), host_statistics(parsed)).withColumn("known", F.array_intersect("fps", "known")).drop("fps")
+    judged = pages.mapInPandas(run, "row_id bigint, host string, label string, html_lang string, features array<double>, text string, lines array<int>")
     return judged if with_text else judged.drop("text")

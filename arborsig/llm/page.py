@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import html
 import re
-import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
+from hashlib import blake2b
 
 _CUT = re.compile(r"(<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>)", re.S | re.I)
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9]*)")
@@ -96,7 +96,8 @@ def readable(content: bytes, declared: str | None) -> str:
 
 @lru_cache(maxsize=20_000)
 def _sig(tag: str, parent: str) -> int:
-    return zlib.crc32(f"{parent}>{re.sub(r'\\s+', ' ', tag.lower())}".encode("utf-8", "replace"))
+    text = f"{parent}>{' '.join(tag.lower().split())}"
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 @lru_cache(maxsize=20_000)

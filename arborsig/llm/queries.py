@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import durable, table
+from ..session import stored, table
 from .bpe import count_tokens, encode_ids
 from .language import doubtful_labels, main_languages
 from .mainbody import judge_pages
@@ -17,18 +17,18 @@ from .vectorknn import nearest_vectors, neighbour_pairs
 
 
 def p1_found(spark, d):
-    judged = durable(judge_pages(table(spark, d, "records"), table(spark, d, "langrefs")))
+    judged = stored(judge_pages(table(spark, d, "records"), table(spark, d, "langrefs")))
     bodies = judged.join(spam_pages(judged), "row_id", "left_anti")
     return bodies.select("row_id", F.explode(F.col("lines").cast("array<bigint>")).alias("line_no"))
 
 
 def p4_found(spark, d):
-    judged = durable(judge_pages(table(spark, d, "records"), table(spark, d, "langrefs")))
+    judged = stored(judge_pages(table(spark, d, "records"), table(spark, d, "langrefs")))
     return spam_pages(judged).select("row_id")
 
 
 def p4_scores(spark, d):
-    judged = durable(judge_pages(table(spark, d, "records"), table(spark, d, "langrefs")))
+    judged = stored(judge_pages(table(spark, d, "records"), table(spark, d, "langrefs")))
     return score_pages(judged).select("row_id", "host", F.round("spam_score", 6).alias("spam_score"))
 
 

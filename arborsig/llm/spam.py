@@ -1,8 +1,11 @@
 """Pages of strung keywords, tags and links: bagged decision trees on weak labels, smoothed by host.
 
 Weak labels come from pages that are clear cases: nearly no words, or nearly all words, of the main region stand in
-sentences.  The trees are fitted on a bounded sample of them and score all pages.  A page's score is then drawn towards
-the share of such pages on its host, the more so the more pages the host has, by a bounded amount.
+sentences.  The trees, fitted on a bounded sample of them, don't see that share, which is left to the labels: they judge
+all pages, clear or not, by links, repetition, separators, ends of sentences and the like.  To a page's log odds the
+share is added as weak evidence of its own; they then move towards those of the rate of such pages on its host, the more
+so the more pages the host has.  A page is a case by the sum, which overturns the share where the text only looks unlike
+sentences (garbled letters) or like them (keywords with full stops).
 """
 
 from __future__ import annotations
@@ -20,9 +23,13 @@ from .mainbody import FEATURES
 SAMPLE = 4000
 #: The share of words outside sentences from which on, and up to which, a page has a weak label.
 CLEAR_ROWS, CLEAR_PROSE, LEAST_WORDS = 0.6, 0.4, 12
-TREES, DEPTH = 15, 5
-#: A host's rate counts as so many pages more of the mean rate; it moves a page's log odds by at most HOST_PULL.
-HOST_PRIOR, HOST_PULL = 10.0, 0.5
+TREES, DEPTH = 30, 7
+#: A host's rate counts as so many pages more of the mean rate; the part of it that a page on a host of many pages takes.
+HOST_PRIOR, HOST_PART = 10.0, 0.3
+#: What the share of words outside sentences adds to the log odds, from - to +, as evidence the trees don't have.
+SHARE_ODDS = 0.8
+#: The features that the trees see.
+SEEN = [i for i, f in enumerate(FEATURES) if f != "row_share"]
 
 
 def weak_labels(judged: DataFrame) -> DataFrame:
@@ -36,7 +43,7 @@ def score_pages(judged: DataFrame) -> DataFrame:
 
     Without clear cases of both kinds to learn from, the score is 1 or 0 by the share of words outside sentences.
     """
-    judged = judged.withColumn("fv", array_to_vector("features"))
+    judged = judged.withColumn("fv", array_to_vector(F.array(*[F.col("features")[i] for i in SEEN])))
     labelled = weak_labels(judged).where(F.col("y").isNotNull()).select("row_id", "fv", "y")
     numbers = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}
     picked = []
@@ -51,11 +58,13 @@ def score_pages(judged: DataFrame) -> DataFrame:
     scored = model.transform(judged).withColumn("p", vector_to_array("prob")[1]).drop("fv", "raw", "prob", "pred")
     mean = F.avg("p")
     total = scored.agg(mean.alias("m")).first()["m"] or 0.0
-    hosts = scored.groupBy("host").agg(((F.sum("p") + HOST_PRIOR * total) / (F.count("*") + HOST_PRIOR)).alias("rate"))
+    share = F.col("features")[FEATURES.index("row_share")]
+    rate = ((F.sum("p") + HOST_PRIOR * total) / (F.count("*") + HOST_PRIOR)).alias("rate")
+    hosts = scored.groupBy("host").agg(rate, (HOST_PART * F.count("*") / (F.count("*") + HOST_PRIOR)).alias("part"))
     near = lambda c: F.least(F.greatest(c, F.lit(0.01)), F.lit(0.99))
     odds = lambda c: F.log(near(c) / (1 - near(c)))
-    pull = F.least(F.greatest(0.2 * (odds(F.col("rate")) - odds(F.lit(total))), F.lit(-HOST_PULL)), F.lit(HOST_PULL))
-    smoothed = scored.join(hosts, "host", "left").withColumn("spam_score", 1 / (1 + F.exp(-(odds(F.col("p")) + pull))))
+    pull = F.col("part") * (odds(F.col("rate")) - odds(F.lit(total)))
+    smoothed = scored.join(hosts, "host", "left").withColumn("spam_score", 1 / (1 + F.exp(-(odds(F.col("p")) + pull + SHARE_ODDS * (2 * share - 1))))).drop("part")
     return smoothed.drop("p", "rate")
 
 
