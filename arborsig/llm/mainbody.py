@@ -21,13 +21,13 @@ from __future__ import annotations
 import marshal
 import re
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from xxhash import xxh3_64_intdigest
 
 from ..session import spread, stored
-from .page import HEADINGS, Page, declared_charset, parse, readable
+from .page import HEADINGS, Node, Page, Unit, declared_charset, parse, readable
 
 #: A line recurs on a host if it is on this share of the host's distinct pages, and on at least so many.
 LINE_SHARE, LINE_PAGES = 0.01, 4
@@ -51,6 +51,7 @@ SIBLING = 0.6
 #: The part of a container's points that its parent gets.
 PASSED = 0.5
 
+_SIGN = 1 << 63
 _DIGITS = re.compile(r"\d+")
 _LEAD = re.compile(r"^(\D{2,28}?)\s?:\s")
 _NAV = re.compile(r"\s[|»›>·•]\s")
@@ -69,7 +70,7 @@ def host_of(uri: str | None) -> str:
 
 def hashed(text: str) -> int:
     """A signed 64-bit hash that is the same everywhere."""
-    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+    return (xxh3_64_intdigest(text.encode("utf-8", "replace")) ^ _SIGN) - _SIGN
 
 
 def fingerprint(text: str, host: str) -> int:
@@ -139,7 +140,7 @@ def parse_pages(records: DataFrame, samples: frozenset[int] = frozenset()) -> Da
     names = ["row_id", "host", "label", "body", "fps", "fshares", "sigs", "shares", "words", "others", "blob"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, hashes = Vocabulary(samples), Hashes()
+        stretches = Stretches(samples)
         for b in batches:
             out = []
             for row_id, uri, kind, label, content in zip(b["row_id"], b["uri"], b["type"], b["label"], b["content"]):
@@ -152,9 +153,10 @@ def parse_pages(records: DataFrame, samples: frozenset[int] = frozenset()) -> Da
                 held = [container_of(p, u.node) for u in p.units]
                 own = {f: points[h] / total if h else 0.0 for f, h in zip(fp, held)}
                 nodes = {n.sig: points[i] / total for i, n in enumerate(p.nodes) if i and (points[i] > 0 or n.children or n.units > 1)}
-                blob = marshal.dumps(([(u.node, u.tag, u.text, u.lines, u.linked, u.hidden, u.links) for u in p.units], [(n.name, n.sig, n.parent, n.units, n.children) for n in p.nodes], fp, p.lang))
-                yes, no = stretch_words(p, vocabulary)
-                out.append((row_id, host, label, body_hash(p, points, host), list(own), list(own.values()), list(nodes), list(nodes.values()), list(set(map(hashes.__getitem__, yes))), list(set(map(hashes.__getitem__, no))), blob))
+                menu = [is_menu(u.text) for u in p.units]
+                blob = marshal.dumps(([(u.node, u.tag, u.text, u.lines, u.linked, u.hidden, u.links) for u in p.units], [(n.name, n.sig, n.parent, n.units, n.children) for n in p.nodes], fp, each, menu, p.lang))
+                yes, no = stretches.of(p)
+                out.append((row_id, host, label, body_hash(p, points, host), list(own), list(own.values()), list(nodes), list(nodes.values()), list(yes), list(no), blob))
             yield pd.DataFrame(out, columns=names)
 
     return pages.mapInPandas(run, "row_id bigint, host string, label string, body bigint, fps array<bigint>, fshares array<float>, sigs array<bigint>, shares array<float>, words array<bigint>, others array<bigint>, blob binary")
@@ -203,14 +205,13 @@ def with_host(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return pages.withColumn("_s", F.pmod(F.xxhash64("row_id"), F.lit(HOST_PARTS)).cast("int")).join(copies, ["host", "_s"], "left").drop("_s")
 
 
-def load(blob: bytes) -> tuple[Page, list[int]]:
-    from .page import Node, Unit
+def load(blob: bytes) -> tuple[Page, list[int], list[float], list[bool]]:
+    """(page, fingerprints, points, menus) of a parsed page; the last three by unit."""
+    units, nodes, fp, each, menu, lang = marshal.loads(blob)
+    return Page([Node(*n) for n in nodes], [Unit(*u) for u in units], lang=lang), fp, each, menu
 
-    units, nodes, fp, lang = marshal.loads(blob)
-    return Page([Node(*n) for n in nodes], [Unit(*u) for u in units], lang=lang), fp
 
-
-def main_units(page: Page, fp: list[int], weights: dict[int, float], known: frozenset[int]) -> list[int]:
+def main_units(page: Page, fp: list[int], each: list[float], menu: list[bool], weights: dict[int, float], known: frozenset[int]) -> list[int]:
     """The numbers of the units of the best container and of siblings that come near it, without furniture.
 
     Hidden units and links are among them, as keyword stuffing hides there.
@@ -218,10 +219,10 @@ def main_units(page: Page, fp: list[int], weights: dict[int, float], known: froz
     nodes, units = page.nodes, page.units
     if not units:
         return []
-    odd = [f in known or is_menu(u.text) for u, f in zip(units, fp)]
+    odd = [m or f in known for f, m in zip(fp, menu)]
     size = [min(len(u.text), UNIT_MASS) for u in units]
     masses = [0.0 if o else float(s) for o, s in zip(odd, size)]
-    worth = [0.0 if o else unit_points(u.text, u.linked, u.hidden) for u, o in zip(units, odd)]
+    worth = [0.0 if o else e for e, o in zip(each, odd)]
     mass, points = subtree_sums(page, masses, PASSED), subtree_sums(page, worth, PASSED)
     number, strange = subtree_sums(page, [1.0] * len(units)), subtree_sums(page, [float(o) for o in odd])
     all_mass, all_points = sum(masses) or 1.0, sum(worth) or 1.0
@@ -274,21 +275,39 @@ class Vocabulary(dict):
         return sum(map(self.__getitem__, words))
 
 
-def stretch_words(page: Page, vocabulary: Vocabulary) -> tuple[set[str], set[str]]:
-    """The words of the page's stretches of text that are sentences by the words of ``vocabulary``, and of the others."""
-    inside: set[str] = set()
-    outside: set[str] = set()
-    for u in page.units:
-        for s in _STOP.split(_ADDRESS.sub(" ", u.text) if "://" in u.text else u.text):
+class Stretches:
+    """The hashes of the words of pages' stretches of text that are sentences by the words of a vocabulary, and of the
+    others.  What recurring units give is remembered, within a bound."""
+
+    def __init__(self, samples: frozenset[int]):
+        self.vocabulary, self.hashes, self.seen = Vocabulary(samples), Hashes(), {}
+
+    def of(self, page: Page) -> tuple[set[int], set[int]]:
+        inside: set[int] = set()
+        outside: set[int] = set()
+        for u in page.units:
+            found = self.seen.get(u.text)
+            if found is None:
+                if len(self.seen) >= 20_000:
+                    self.seen.clear()
+                found = self.seen[u.text] = self._unit(u.text)
+            inside.update(found[0])
+            outside.update(found[1])
+        return inside, outside
+
+    def _unit(self, text: str) -> tuple[list[int], list[int]]:
+        inside: set[str] = set()
+        outside: set[str] = set()
+        for s in _STOP.split(_ADDRESS.sub(" ", text) if "://" in text else text):
             words = _WORD.findall(s)
             n = len(words)
             if n >= 3:
                 apart = set(words)
-                if n >= 5 and len(apart) > 0.7 * n and vocabulary.known(apart) >= max(3, 0.3 * len(apart)):
+                if n >= 5 and len(apart) > 0.7 * n and self.vocabulary.known(apart) >= max(3, 0.3 * len(apart)):
                     inside |= apart
                 else:
                     outside |= apart
-    return inside, outside
+        return list(map(self.hashes.__getitem__, inside)), list(map(self.hashes.__getitem__, outside))
 
 
 def sentence_words(text: str, vocabulary: Vocabulary) -> tuple[int, list[str]]:
@@ -334,7 +353,7 @@ def features(page: Page, region: list[int], vocabulary: Vocabulary) -> list[floa
         caps += sum(map(str.isupper, [w[0] for w in words]))
         low = set(map(str.lower, words))
         apart += len(low)
-        short += sum(len(w) <= 3 for w in words)
+        short += sum(map((4).__gt__, map(len, words)))
         seen |= low
     t = max(total, 1)
     return [log1p(total), 1 - inside / t if total else 0.0, hidden / t, linked / max(chars, 1), links / t, len(seen) / t, seps / t, ends / t, total / max(len(region), 1), caps / t, short / t, (total - apart) / t]
@@ -370,12 +389,12 @@ def judge_pages(records: DataFrame, langrefs: DataFrame, with_text: bool = False
         for b in batches:
             out = []
             for row_id, host, label, blob, known, sigs, ws in zip(b["row_id"], b["host"], b["label"], b["blob"], b["known"], b["sigs"], b["weights"]):
-                page, fp = load(blob)
+                page, fp, each, menu = load(blob)
                 if host not in weights:
                     if len(weights) >= 1000:
                         weights.clear()
                     weights[host] = dict(zip(sigs.tolist(), ws.tolist())) if sigs is not None else {}
-                region = main_units(page, fp, weights[host], frozenset(known.tolist()) if known is not None else frozenset())
+                region = main_units(page, fp, each, menu, weights[host], frozenset(known.tolist()) if known is not None else frozenset())
                 seen = [u for u in map(page.units.__getitem__, region) if not u.hidden and not (u.links and u.linked >= 0.9 * len(u.text))]
                 lines = sorted({x for u in seen for x in u.lines})
                 text = "\n".join(u.text for u in seen if u.tag not in HEADINGS and u.tag != "b") if with_text else None
