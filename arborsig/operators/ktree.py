@@ -20,10 +20,10 @@ MOST_SHARD = 2_000_000
 
 
 class _Node:
-    __slots__ = ("leaf", "keys", "children", "names")
+    __slots__ = ("leaf", "keys", "children", "names", "count")
 
     def __init__(self, leaf: bool):
-        self.leaf, self.keys, self.children, self.names = leaf, [], [], []
+        self.leaf, self.keys, self.children, self.names, self.count = leaf, [], [], [], 0
 
 
 class KTreeKernel:
@@ -45,8 +45,10 @@ class KTreeKernel:
     def _nearest(self, value, keys: list) -> int:
         return int(self.distance.matrix(self.distance.rows([value]), self.distance.rows(keys))[0].argmin())
 
-    def count(self, node: _Node) -> int:
-        return len(node.keys) if node.leaf else sum(map(self.count, node.children))
+    @staticmethod
+    def _weights(node: _Node) -> list[int]:
+        """How many objects each of a node's keys stands for."""
+        return [1] * len(node.keys) if node.leaf else [c.count for c in node.children]
 
     def _halves(self, values: list) -> list[list[int]]:
         """Two groups of numbers of values by 2-means; nearly equal random halves if that leaves one empty."""
@@ -69,14 +71,15 @@ class KTreeKernel:
             half.keys = [node.keys[i] for i in g]
             if node.leaf:
                 half.names = [node.names[i] for i in g]
-                keys.append(self._mean(half.keys, [1] * len(g)))
             else:
                 half.children = [node.children[i] for i in g]
-                keys.append(self._mean(half.keys, list(map(self.count, half.children))))
+            half.count = sum(self._weights(half))
+            keys.append(self._mean(half.keys, self._weights(half)))
             halves.append(half)
         return keys, halves
 
     def _push(self, node: _Node, name, value) -> tuple[list, list[_Node]] | None:
+        node.count += 1
         if node.leaf:
             node.keys.append(value)
             node.names.append(name)
@@ -87,7 +90,7 @@ class KTreeKernel:
                 node.keys[i : i + 1], node.children[i : i + 1] = parts
             elif self.added % self.delay == 0:
                 child = node.children[i]
-                node.keys[i] = self._mean(child.keys, [1] * len(child.keys) if child.leaf else list(map(self.count, child.children)))
+                node.keys[i] = self._mean(child.keys, self._weights(child))
         return self._split(node) if len(node.keys) > self.order else None
 
     def add(self, name, value) -> None:
@@ -95,6 +98,7 @@ class KTreeKernel:
         if parts:
             self.root = _Node(False)
             self.root.keys, self.root.children = parts
+            self.root.count = sum(self._weights(self.root))
         self.added += 1
 
     def rows(self, prefix: str) -> tuple[list[tuple], list[tuple]]:

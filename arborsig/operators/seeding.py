@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.distance import HAMMING, Distance
@@ -14,9 +12,29 @@ def order_hash(id: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id).cast("string")))
 
 
+#: Up to so many rows a sample is taken by one ordered limit; larger ones are cut by the leading digits of the hashes.
+FEW = 10_000
+
+
 def sample(df: DataFrame, n: int, id: str = "id", seed: int = 42) -> DataFrame:
-    """``n`` rows without replacement, all rows if there are fewer."""
-    return df.orderBy(order_hash(id, seed), id).limit(n)
+    """``n`` rows without replacement, all rows if there are fewer: the first in order of their hashes.
+
+    A large sample is never ordered in one task: rows are counted by the first four digits of their hashes (65,536
+    counts at most), all rows of the digits before the n-th row's are kept, and only that one bucket is ordered.
+    """
+    if n <= FEW:
+        return df.orderBy(order_hash(id, seed), id).limit(n)
+    hashed = df.withColumn("_o", order_hash(id, seed)).withColumn("_h", F.substring("_o", 1, 4))
+    before, last = 0, None
+    for h, count in sorted((r["_h"], r["count"]) for r in hashed.groupBy("_h").count().collect() if r["_h"] is not None):
+        if before + count >= n:
+            last = h
+            break
+        before += count
+    if last is None:
+        return df
+    rest = hashed.where(F.col("_h") == last).orderBy("_o", id).limit(n - before)
+    return hashed.where(F.col("_h") < last).unionByName(rest).drop("_o", "_h")
 
 
 def hash_sample(df: DataFrame, n: int, total: int, id: str = "id", salt: str = "") -> DataFrame:
@@ -35,7 +53,8 @@ def random_seeds(df: DataFrame, k: int, id: str = "id", seed: int = 42, by: str
         # the rows are cut down before they are numbered, so that no task gets them all
         return sample(df, k, id, seed).withColumn("idx", F.row_number().over(Window.orderBy(order_hash(id, seed), id)) - 1)
     w = Window.partitionBy(by).orderBy(order_hash(id, seed), id)
-    return df.withColumn("idx", F.row_number().over(w) - 1).where(F.col("idx") < k)
+    # the limit is on the number itself, so that each partition is cut down to k rows a group before the shuffle
+    return df.withColumn("idx", F.row_number().over(w)).where(F.col("idx") <= k).withColumn("idx", F.col("idx") - 1)
 
 
 def uniform(seed: int, step: int) -> float:
@@ -45,28 +64,34 @@ def uniform(seed: int, step: int) -> float:
     return int(hashlib.md5(f"{seed}:u{step}".encode()).hexdigest()[:12], 16) / float(1 << 48)
 
 
+#: Rows of a range of ids, of which one is ordered for each draw; ranges at most.
+RANGE_ROWS, MOST_RANGES = 100_000, 4096
+
+
+def in_ranges(df: DataFrame, id: str) -> DataFrame:
+    """``df`` cut into ranges of ids, numbered in order by ``_p``; what the ids look like doesn't matter."""
+    parts = max(1, min(MOST_RANGES, df.count() // RANGE_ROWS))
+    return durable(df.repartitionByRange(parts, id).withColumn("_p", F.spark_partition_id()))
+
+
 def pick_by_weight(df: DataFrame, u: float, id: str, weight: str) -> tuple:
     """(id, total): the first row in order of ``id`` at which the running sum of weights reaches u * total.
 
-    Found in two steps, by blocks of ids and then inside one block, so that no task orders all rows.
+    Sums by range (see ``in_ranges``) say which one the row is in, and only that one is ordered.
     """
-    kind = df.select(F.min(id).alias("a"), F.max(id).alias("b"), F.sum(weight).alias("t")).first()
-    total = kind["t"] or 0
-    target = u * total
-    lo, hi = kind["a"], kind["b"]
-    numeric = isinstance(lo, int)
-    block = F.floor((F.col(id) - lo) / max(1, math.ceil((hi - lo + 1) / 4096))) if numeric else F.substring(id, 1, 12)
-    sums = df.groupBy(block.alias("_b")).agg(F.sum(weight).alias("s"))
-    run = 0
-    chosen, before = None, 0
-    for r in sums.orderBy("_b").toLocalIterator():  # one row a block
-        if run + r["s"] >= target:
-            chosen, before = r["_b"], run
+    if "_p" not in df.columns:
+        df = in_ranges(df, id)
+    sums = sorted((r["_p"], r["s"] or 0) for r in df.groupBy("_p").agg(F.sum(weight).alias("s")).collect())  # a row a range
+    total = sum(s for _, s in sums)
+    target, run, chosen = u * total, 0, sums[-1][0]
+    for p, s in sums:
+        if run + s >= target:
+            chosen = p
             break
-        run += r["s"]
-    inside = df.where(block == chosen).withColumn("_c", F.lit(before) + F.sum(weight).over(Window.orderBy(id).rowsBetween(Window.unboundedPreceding, 0)))
+        run += s
+    inside = df.where(F.col("_p") == chosen).withColumn("_c", F.lit(run) + F.sum(weight).over(Window.partitionBy("_p").orderBy(id).rowsBetween(Window.unboundedPreceding, 0)))
     row = inside.where(F.col("_c") >= target).orderBy(id).select(id).first()
-    return (row[0] if row else hi), total
+    return (row[0] if row else df.agg(F.max(id)).first()[0]), total
 
 
 def distance_seeds(df: DataFrame, k: int, id: str = "id", value: str = "sig", distance: Distance = HAMMING, seed: int = 42, tries: int = 1, draws: list[float] | None = None) -> list:
@@ -81,7 +106,7 @@ def distance_seeds(df: DataFrame, k: int, id: str = "id", value: str = "sig", di
     if first is None:
         return []
     chosen = [first[0]]
-    state = durable(df.select(id, value, distance.column(F.col(value), literal(first[1], distance)).alias("_d")))
+    state = in_ranges(df.select(id, value, distance.column(F.col(value), literal(first[1], distance)).alias("_d")), id)
     step = 0
     while len(chosen) < k:
         best = None

@@ -129,83 +129,55 @@ class Tree:
         if not self.keys:
             raise ValueError("the tree has no keys")
         spark, distance = objects.sparkSession, self.distance
-        packed = {p: ([k.node_id for k in c], distance.rows([k.value for k in c])) for p, c in self.children.items()}
-        shared = spark.sparkContext.broadcast(packed)  # at most MOST_KEYS keys
+        shared = spark.sparkContext.broadcast(self._numbered())  # at most MOST_KEYS keys
         rows = objects.where(F.col(value).isNotNull()).select(F.col(id).alias("id"), F.col(value).alias("value"))
         kinds = [rows.schema[c].dataType.simpleString() for c in ("id", "value")]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tree = shared.value
+            tree, known = shared.value
             for b in batches:
                 if not len(b):
                     continue
-                x = distance.rows(b["value"])
-                at = np.full(len(b), ROOT, dtype=object)
-                names: list[list] = [[] for _ in range(len(b))]
-                dists: list[list] = [[] for _ in range(len(b))]
-                live = np.arange(len(b))
-                while len(live):
-                    codes, parents = pd.factorize(at[live])
-                    for c, p in enumerate(parents):
-                        if p not in tree:
-                            continue
-                        who = live[codes == c]
-                        ids, keys = tree[p]
-                        i, d = arg_nearest(x[who], keys, distance)
-                        for w, n, v in zip(who.tolist(), i.tolist(), d.tolist()):
-                            at[w] = ids[n]
-                            names[w].append(ids[n])
-                            dists[w].append(v)
-                    live = live[[at[w] in tree for w in live.tolist()]]
-                yield pd.DataFrame({"id": b["id"], "value": b["value"], "names": pd.Series(names, dtype=object), "dists": pd.Series(dists, dtype=object)})
+                steps = _descent(tree, distance.rows(b["value"]), distance)
+                at, dist = np.stack([s[0] for s in steps], 1), np.stack([s[1] for s in steps], 1)
+                # an object at a leaf above the lowest level stays there: its path ends at the first repetition
+                length = 1 + (at[:, 1:] != at[:, :-1]).sum(1)
+                names, dist = known[at], dist.astype(np.int64) if distance.type == "bigint" else dist
+                yield pd.DataFrame({"id": b["id"], "value": b["value"], "names": pd.Series([r[:n] for r, n in zip(names, length)], dtype=object), "dists": pd.Series([r[:n] for r, n in zip(dist, length)], dtype=object)})
 
         out = rows.mapInPandas(run, f"id {kinds[0]}, value {kinds[1]}, names array<string>, dists array<{distance.type}>")
         steps = F.transform(F.arrays_zip("names", "dists"), lambda s, i: F.struct((i + 1).alias("level"), s["names"].alias("node_id"), s["dists"].alias("dist")))
         return out.select("id", "value", steps.alias("path"))
 
+    def _numbered(self) -> tuple[dict, np.ndarray]:
+        """({number of a node: (numbers of its children, their keys)}, names by number), for kernels."""
+        number: dict[str, int] = {ROOT: 0} | {k.node_id: i + 1 for i, k in enumerate(self.keys)}
+        packed = {number[p]: (np.array([number[k.node_id] for k in c]), self.distance.rows([k.value for k in c])) for p, c in self.children.items()}
+        return packed, np.array([ROOT, *(k.node_id for k in self.keys)], dtype=object)
+
     def accumulate(self, objects: DataFrame, value: str = "sig") -> DataFrame:
-        """(leaf_id, n, sse, s): number, squared errors and sums by dimension (as bytes) of the objects by leaf.
+        """(g, n, w, sse, kind, s): number, squared errors and sums by dimension of the objects by leaf ``g``.
 
-        Descent and sums are one pass over the objects; what is shuffled are a partition's sums for each leaf.
+        Descent and sums are one pass over the objects; what is shuffled is bounded by the objects themselves.
         """
-        from .prototype import Sums, bit_rows, merge_sums
+        from .prototype import Sums, merged_sums
 
         distance = self.distance
-        number: dict[str, int] = {ROOT: 0} | {k.node_id: i + 1 for i, k in enumerate(self.keys)}
-        packed = {number[p]: (np.array([number[k.node_id] for k in c]), distance.rows([k.value for k in c])) for p, c in self.children.items()}
-        shared = objects.sparkSession.sparkContext.broadcast((packed, np.array([ROOT, *(k.node_id for k in self.keys)], dtype=object)))  # at most MOST_KEYS keys
+        shared = objects.sparkSession.sparkContext.broadcast(self._numbered())  # at most MOST_KEYS keys
         bits = distance.type == "bigint"
         rows = objects.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tree, names = shared.value
-            sums = Sums()
+            sums = Sums(bits)
             for b in batches:
-                if not b.num_rows:
-                    continue
-                raw = from_arrow(b.column(0), np.int64 if bits else np.float64)
-                x = raw.view(np.uint64) if bits else raw
-                at, dist = np.zeros(len(x), np.int64), np.zeros(len(x))
-                live = np.arange(len(x))
-                while len(live):
-                    order = live[np.argsort(at[live], kind="stable")]
-                    parents, starts = np.unique(at[order], return_index=True)
-                    going = []
-                    for p, s, e in zip(parents.tolist(), starts, [*starts[1:], len(order)]):
-                        if p not in tree:
-                            continue
-                        who = order[s:e]
-                        ids, keys = tree[p]
-                        i, d = arg_nearest(x[who], keys, distance)
-                        at[who], dist[who] = ids[i], d
-                        going.append(who)
-                    live = np.concatenate(going) if going else live[:0]
-                sums.add(at, bit_rows(raw) if bits else raw, None, distance.square(dist))
-            sums.held = {names[k]: v for k, v in sums.held.items()}
-            yield sums.batch(pa.string())
-
-        parts = rows.mapInArrow(run, "g string, n bigint, w double, sse double, s binary")
-        return merge_sums(parts).select(F.col("g").alias("leaf_id"), "n", "sse", "s")
+                if b.num_rows:
+                    raw = from_arrow(b.column(0), np.int64 if bits else np.float64)
+                    at, dist = _descent(tree, raw.view(np.uint64) if bits else raw, distance)[-1]
+                    yield from sums.add(names[at], raw, None, distance.square(dist))
+            yield from sums.flush()
+
+        return merged_sums(rows.mapInArrow(run, Sums.SCHEMA), len(self.leaves()))
 
     def descend(self, objects: DataFrame, id: str = "id", value: str = "sig") -> DataFrame:
         """(id, value, leaf_id, dist): the leaf each object comes to."""
@@ -217,6 +189,26 @@ class Tree:
         return self.paths(objects, id, value).select("id", F.inline("path")).select("level", "id", "node_id", "dist")
 
 
+def _descent(tree: dict, x: np.ndarray, distance: Distance) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(node, distance from its key) of each object at each level; objects that have come to a leaf stay there."""
+    at, dist, live, steps = np.zeros(len(x), np.int64), np.zeros(len(x)), np.arange(len(x)), []
+    while len(live):
+        order = live[np.argsort(at[live], kind="stable")]
+        parents, starts = np.unique(at[order], return_index=True)
+        going = []
+        for p, s, e in zip(parents.tolist(), starts, [*starts[1:], len(order)]):
+            if p in tree:
+                who = order[s:e]
+                ids, keys = tree[p]
+                i, d = arg_nearest(x[who], keys, distance)
+                at[who], dist[who] = ids[i], d
+                going.append(who)
+        live = np.concatenate(going) if going else live[:0]
+        if len(live):
+            steps.append((at.copy(), dist.copy()))
+    return steps
+
+
 def descend_joined(nodes: DataFrame, objects: DataFrame, levels: int, distance: Distance = HAMMING) -> DataFrame:
     """(id, leaf_id, dist) by joins with a table of nodes of any size, for trees too large for a driver.
 

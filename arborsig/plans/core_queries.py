@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import bits, vectors
@@ -15,9 +17,9 @@ from ..operators.seeding import distance_seeds, random_seeds, sample
 from ..operators.select import balanced_dims, dim_histogram, error_to_mean_and_first, reduce_dims, subset
 from ..operators.tree import descend_joined, leaf_counter, level_counts, level_stats, size_histogram, tree_stats
 from ..operators.treebuild import EMTree, tsvq, with_distances
-from ..session import table
+from ..session import shared_dir, table
 from ..sources.signatures import random_signatures, random_vectors
-from ..sources.warc import field, has_field, title
+from ..sources.warc import field, has_field, title, write_warc
 from ..streaming.streaming_emtree import StreamingEMTree, insert_prune_report, insert_write_clusters, run_batches, run_passes
 from . import jobs
 from .core_sql import ORDER, SIGS, assign, bit, descend, hamming, kmeans, majority, pack, pruned, query, rebuilt, rolled, split, up
@@ -533,12 +535,20 @@ def page_titles(spark, d):
     return r.select("row_id", title(F.col("content")).alias("title"))
 
 
+@register(f"SELECT metadata['warc-trec-id'] AS trec_id, coalesce({_TITLE}, '') AS title FROM records WHERE map_contains(metadata, 'warc-trec-id')")
+def warc_titles(spark, d):
+    """All records written as archives in the shared folder and read back, then the titles of the pages among them."""
+    path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    write_warc(table(spark, d, "records"), path)
+    return jobs.title_job(spark, path)
+
+
 @register("SELECT row_id, metadata['warc-type'] AS warc_type, CAST(octet_length(content) AS BIGINT) AS bytes FROM records")
 def record_fields(spark, d):
     return table(spark, d, "records").select("row_id", field(F.col("metadata"), "WARC-Type").alias("warc_type"), F.octet_length("content").cast("bigint").alias("bytes"))
 
 
-# no SQL: sequential or seeded by other means, tested against models in tests/
+# no SQL: sequential or seeded by other means; the K-tree is tested against a sequential model in tests/test_ktree.py
 
 @register()
 def ktree_assign(spark, d):
@@ -547,7 +557,7 @@ def ktree_assign(spark, d):
 
 @register()
 def ktree_delayed(spark, d):
-    return ktree(sigs(spark, d), 10, delay=50, shards=4)[1]
+    return ktree(sigs(spark, d), 10, delay=50)[1]
 
 
 @register()
@@ -555,14 +565,17 @@ def experiment_grid(spark, d):
     return jobs.grid_table(jobs.experiment_grid(sigs(spark, d), [3, 4], 2, [1], 2).drop("seconds").withColumn("seconds", F.lit(None).cast("double")))
 
 
-@register()
+_U = "CAST(('0x' || substr(md5('{seed}:' || n || ':' || i), 1, 12)) AS BIGINT)"
+
+
+@register(f"WITH b AS (SELECT n, CAST({_U.format(seed=1)} < CAST(0.25 * (1::BIGINT << 48) AS BIGINT) AS BIGINT) AS bit FROM range(1000) a(n), range(256) t(i)) SELECT n AS id, CAST(sum(bit) AS BIGINT) AS ones FROM b GROUP BY n")
 def random_bits(spark, d):
     return random_signatures(spark, 1000, 256, p=0.25).select("id", bits.popcount(F.col("sig")).alias("ones"))
 
 
-@register()
+@register(f"SELECT n AS id, CAST(i AS INTEGER) AS dim, {_U.format(seed=1)} / CAST(1::BIGINT << 48 AS DOUBLE) AS x FROM range(100) a(n), range(8) t(i)")
 def random_numbers(spark, d):
-    return random_vectors(spark, 100, 8)
+    return random_vectors(spark, 100, 8).select("id", F.posexplode("v").alias("dim", "x"))
 
 
 def p5_found(spark, d):

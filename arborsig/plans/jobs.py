@@ -71,9 +71,9 @@ def mini_batch_job(objects: DataFrame, ids: DataFrame | None = None, order: int
     return stream, visits, stats
 
 
-def hybrid_job(objects: DataFrame, sample_size: int, order: int, depth: int = 3, max_iters: int = 2, steps: int = 1) -> EMTree:
+def hybrid_job(objects: DataFrame, sample_size: int, order: int, depth: int = 3, max_iters: int = 2, steps: int = 1, seed: int = 42) -> EMTree:
     """Top-down tree of a sample, then all objects by descent, pruning, new keys, and EM steps."""
-    t = EMTree(*tsvq(sample(objects, sample_size), order, depth, max_iters)).replace(objects).prune()[0].rebuild_internal()
+    t = EMTree(*tsvq(sample(objects, sample_size, seed=seed), order, depth, max_iters, seed=seed)).replace(objects).prune()[0].rebuild_internal()
     for _ in range(steps):
         t = t.em_step()
     return t
@@ -94,9 +94,12 @@ STUDIES = {
     "emtree_roots": {"methods": ["emtree"], "clusters": [240, 350, 550, 710, 1100, 1550, 2200, 3800, 7500, 11500], "depth": 3, "iters": [10]},
     "kmeans": {"methods": ["kmeans"], "orders": [1300, 1800, 2900, 4000], "depth": 2, "iters": [10]},
     "ktree": {"methods": ["ktree"], "orders": [1000, 750, 500, 400, 300, 250, 200, 150, 100, 75], "depth": 2, "iters": [2]},
+    "crawl_ktree": {"methods": ["ktree_delayed"], "orders": [1000], "depth": 2, "iters": [2]},
+    "crawl_emtree": {"methods": ["emtree"], "clusters": [110_000], "depth": 3, "iters": [4]},
+    "crawl_hybrid": {"methods": ["hybrid"], "clusters": [110_000], "depth": 3, "iters": [4]},
     "ktree_delayed": {"methods": ["ktree_delayed"], "orders": [1000, 750, 500, 400, 300, 250, 185, 138, 85, 65], "depth": 2, "iters": [2]},
 }
-TRIALS = 20
+TRIALS, HYBRID_SAMPLE = 20, 2_000_000
 
 
 def _run(method: str, objects: DataFrame, m: int, depth: int, iters: int, seed: int) -> tuple[int, float]:
@@ -110,9 +113,9 @@ def _run(method: str, objects: DataFrame, m: int, depth: int, iters: int, seed:
         if tree.is_empty():
             return 1, 0.0
         rows = with_distances(tree, assigned.join(objects.select("id", F.col("sig").alias("value")), "id"))
-    elif method == "emtree":
-        t = EMTree.seed(objects, [m] * (depth - 1), update_means=False, seed=seed)
-        for _ in range(iters):
+    elif method in ("emtree", "hybrid"):
+        t = hybrid_job(objects, HYBRID_SAMPLE, m, depth, steps=iters, seed=seed) if method == "hybrid" else EMTree.seed(objects, [m] * (depth - 1), update_means=False, seed=seed)
+        for _ in range(0 if method == "hybrid" else iters):
             t = t.em_step()
         tree, rows = t.tree, with_distances(t.tree, t.assigned)
     else:

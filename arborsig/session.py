@@ -43,8 +43,9 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a compressed table in the shared folder: as ``durable``, for wide rows of which later steps read parts.
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` as a compressed table in the shared folder: as ``durable``, for wide rows of which later steps read parts;
+    with ``by`` a folder a value of that column.
 
     The session's tables are deleted when the program ends.
     """
@@ -54,7 +55,8 @@ def stored(df: DataFrame) -> DataFrame:
         folder = spark.sparkContext._arborsig_tables = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    write = df.write.option("compression", "zstd")
+    (write.partitionBy(by) if by else write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

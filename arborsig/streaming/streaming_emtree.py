@@ -1,7 +1,8 @@
 """The streaming EM-tree: a tree of keys through which objects flow without being kept.
 
-The state between batches are accumulators of the leaves (count, sum of squared errors, sums by bit): numbers, a row for
-each leaf, however many objects have passed.  ``MiniBatches`` runs it under Structured Streaming.
+The state between batches are accumulators of the leaves: counts and sums of squared errors, a row a leaf held by the
+driver, and sums by dimension, which stay in a table in the shared folder however large the tree is.  New keys are worked
+out where the sums are; only keys come to the driver.  ``MiniBatches`` runs it under Structured Streaming.
 """
 
 from __future__ import annotations
@@ -9,25 +10,27 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.prototype import majority_words
+from ..operators.prototype import INTS, merged_prototypes, merged_sums
 from ..operators.tree import Tree
-from ..session import durable
+from ..session import durable, stored
 
 
 @dataclass
 class Accumulator:
     count: int = 0
     sse: float = 0
-    sums: np.ndarray | None = None
 
 
 @dataclass
 class StreamingEMTree:
     tree: Tree
     acc: dict[str, Accumulator] = field(default_factory=dict)
+    #: The sums by dimension of the leaves, a table for each insertion since the last update.
+    parts: list[DataFrame] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         if self.tree.is_empty():
@@ -35,13 +38,25 @@ class StreamingEMTree:
 
     def insert(self, objects: DataFrame, id: str = "id", value: str = "sig") -> int:  # ids play no part
         """Adds the objects to the leaves they descend to; returns their number."""
-        n = 0
-        for leaf, count, sse, s in self.tree.accumulate(objects, value).toPandas().itertuples(index=False):  # a row a leaf
+        n, sums = 0, stored(self.tree.accumulate(objects, value))
+        for leaf, count, sse in sums.select("g", "n", "sse").toPandas().itertuples(index=False):  # a row a leaf
             a = self.acc.setdefault(leaf, Accumulator())
             a.count, a.sse, n = a.count + int(count), a.sse + sse, n + int(count)
-            a.sums = np.frombuffer(s) if a.sums is None else a.sums + np.frombuffer(s)
+        if n:
+            self.parts.append(sums)
         return n
 
+    def sums(self) -> DataFrame | None:
+        """(g, n, w, sse, kind, s) of the leaves with objects that were inserted; None without any."""
+        if not self.parts:
+            return None
+        if len(self.parts) > 1:
+            both = self.parts[0]
+            for p in self.parts[1:]:
+                both = both.unionByName(p)
+            self.parts = [stored(merged_sums(both, len(self.tree.leaves())))]
+        return self.parts[0]
+
     def visit(self, objects: DataFrame, id: str = "id", value: str = "sig", count: bool = True) -> DataFrame:
         """(level, id, node_id, dist) of every object at every level.  Counts and errors are added, sums by bit not."""
         paths = durable(self.tree.paths(objects, id, value))
@@ -62,14 +77,25 @@ class StreamingEMTree:
             for node in self.tree.ancestors(leaf):
                 t = total.setdefault(node, Accumulator())
                 t.count, t.sse = t.count + a.count, t.sse + a.sse
-                if a.sums is not None:
-                    t.sums = a.sums if t.sums is None else t.sums + a.sums
         return total
 
     def update(self) -> None:
         """Every key of every level becomes the prototype of all objects below it; keys without objects stay."""
+        sums, new = self.sums(), {}
+        if sums is None:
+            return
         bits = self.tree.distance.type == "bigint"
-        new = {n: majority_words(a.sums, a.count) if bits else tuple(a.sums / a.count) for n, a in self._rolled().items() if a.count and a.sums is not None}
+        depths = {k.level for k in self.tree.leaves()}
+        at = stored(sums) if len(depths) > 1 or max(depths) > 2 else sums
+        ids = sorted({k.level for k in self.tree.keys}, reverse=True)
+        # a node's sums are those of its leaves: names are cut to each level's length, and added up from level to level
+        for level in ids:
+            cut = F.substring_index("g", ".", level + 1)
+            here = at.select(F.when(F.size(F.split("g", "[.]")) > level + 1, cut).otherwise(F.col("g")).alias("g"), "n", "w", "sse", "kind", "s")
+            keys = merged_prototypes(here.where(F.size(F.split("g", "[.]")) == level + 1), self.tree.cluster_count(level), bits)
+            new |= {r["g"]: tuple(r["key"]) for r in keys.select("g", "key").collect() if r["g"] in self.tree.by_id}  # keys only
+            if level > 1:
+                at = stored(merged_sums(here, self.tree.cluster_count(level)))
         self.tree = self.tree.update(new)
 
     def prune(self) -> int:
@@ -78,7 +104,7 @@ class StreamingEMTree:
         return removed
 
     def clear(self) -> None:
-        self.acc = {}
+        self.acc, self.parts = {}, []
 
     def object_count(self) -> int:
         return sum(a.count for a in self.acc.values())
@@ -98,8 +124,15 @@ class StreamingEMTree:
 
     def accumulators(self, spark: SparkSession) -> DataFrame:
         """(leaf_id, dim, ones) of the leaves that have sums."""
-        rows = [(leaf, i, int(s)) for leaf, a in self.acc.items() if a.sums is not None for i, s in enumerate(a.sums.tolist())]
-        return spark.createDataFrame(rows, "leaf_id string, dim int, ones bigint")
+        sums = self.sums()
+        if sums is None:
+            return spark.createDataFrame([], "leaf_id string, dim int, ones bigint")
+
+        def unpacked(batches):
+            for p in batches:
+                yield pd.DataFrame({"leaf_id": p["g"], "s": [np.frombuffer(s, dtype="<i4" if k == INTS else "<f8").astype(np.int64) for k, s in zip(p["kind"], p["s"])]})
+
+        return sums.select("g", "kind", "s").mapInPandas(unpacked, "leaf_id string, s array<bigint>").select("leaf_id", F.posexplode("s").alias("dim", "ones"))
 
     def report(self, spark: SparkSession, removed: int = 0) -> DataFrame:
         """(level, clusters, objects, rmse, removed), a row a level."""
@@ -146,8 +179,10 @@ def run_batches(stream: StreamingEMTree, objects: DataFrame, batch_rows: int, id
         before, at = {}, 0
         for p in sorted(sizes):
             before[p], at = at, at + sizes[p]
-        offset = F.create_map(*[x for p, b in before.items() for x in (F.lit(p), F.lit(b))])
-        rows = durable(ordered.withColumn("_b", F.floor((offset[F.col("_p")] + F.row_number().over(Window.partitionBy("_p").orderBy(id)) - 1) / batch_rows)))
+        spark = objects.sparkSession
+        offsets = F.broadcast(spark.createDataFrame(list(before.items()), "_p int, _o bigint"))  # a row a partition
+        numbered = ordered.join(offsets, "_p").withColumn("_b", F.floor((F.col("_o") + F.row_number().over(Window.partitionBy("_p").orderBy(id)) - 1) / batch_rows).cast("int"))
+        rows = stored(numbered.drop("_o", "_p"), by="_b")  # a folder a batch, so that a batch reads its own rows only
     for i, _ in enumerate(cuts):
         part = rows.where(F.col("_b") == i) if len(cuts) > 1 else rows
         stream.insert(part, id, value)

@@ -9,8 +9,6 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SLOW = ("p",)  # covered by tests of their own
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
@@ -31,7 +29,7 @@ def plain(v):
     return v.replace(tzinfo=None) if hasattr(v, "tzinfo") else v
 
 
-CORE = sorted(k for k in entry.oracle_sql() if k not in ("euclid_pairs", "hamming_sq_pairs"))
+CORE = sorted(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", CORE)

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborsig.plans.jobs import title_job
-from arborsig.sources.signatures import random_signatures, random_vectors, read_signatures, subset_ids
+from arborsig.sources.signatures import random_signatures, random_vectors, read_signatures, stream_binary, subset_ids
 from arborsig.sources.sinks import write_members, write_stats, write_titles, write_visits
-from arborsig.sources.warc import extract_titles, field, has_field, read_warc, title, with_field
+from arborsig.sources.warc import extract_titles, field, has_field, read_warc, title, with_field, write_warc
 
 WARC = (
     b"\r\n\r\nWARC/0.18\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
@@ -73,3 +73,22 @@ def test_sinks(spark, tmp_path):
     write_stats(spark.createDataFrame([(1, "r", "r.0", 1.5, 2)], "level int, parent_id string, node_id string, rmse double, object_count bigint"), f"{tmp_path}/x")
     write_members(spark.createDataFrame([(7, 0)], "id bigint, cluster int"), f"{tmp_path}/m")
     assert spark.read.text(f"{tmp_path}/m").first()[0] == "7 0"
+
+
+def test_archives_written_are_read_again(spark, tmp_path):
+    rows = [({"warc-trec-id": "a", "content-length": "99", "x": "1\n2"}, bytes(range(256))), (None, b"plain"), ({"warc-trec-id": "b", "y": None}, None), ({}, b"")]
+    write_warc(spark.createDataFrame(rows, "metadata map<string,string>, content binary"), f"{tmp_path}/w")
+    got = {(r["metadata"].get("warc-trec-id"), bytes(r["content"])) for r in read_warc(spark, f"{tmp_path}/w").collect()}
+    assert got == {("a", bytes(range(256))), (None, b"plain"), ("b", b""), (None, b"")}
+    assert {r["metadata"].get("x") for r in read_warc(spark, f"{tmp_path}/w", whole=0).collect()} == {"1 2", None}  # streamed
+
+
+def test_binary_stream_with_a_limit(spark, tmp_path):
+    x = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, size=(12, 2))
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.sig").write_bytes(x[4 * i : 4 * i + 4].astype("<i8").tobytes())
+    q = stream_binary(spark, f"{tmp_path}/in", 128, most=3).writeStream.format("memory").queryName("sigs_in").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = sorted((r["path"][-5], r["n"], r["sig"]) for r in spark.table("sigs_in").collect())
+    assert got == [(str(i), n, x[4 * i + n].tolist()) for i in range(3) for n in range(3)]
