@@ -3,11 +3,13 @@
 1. Each page's content, decoded by its declared charset, and its title are cut into tokens that have characters beyond
    ASCII.  Tokens are counted over the corpus.
 2. For every distinct word of the corpus the forms are generated that it takes under all chains of encodings (written in
-   one, read in another, once or twice).  A form that is itself a word of the corpus, and a rarer one than its original,
-   is garbled.  Originals come from the corpus, so that they are verified.
-3. Document tokens are joined with this table.  A text with a garbled token, or with replacement or control characters,
-   which the same wrong readings leave, is a case, unless the token is quoted as an example.
-4. Restoring substitutes the originals; a text whose bytes can be read whole in another way is read that way.
+   one, read in another, once or twice, with replacement characters where UTF-8 is expected).  A form that is itself a
+   word of the corpus, and a rarer one than its original, is garbled.  Originals come from the corpus, so that they are
+   verified.  Sites count by the square roots of their pages, so that one misread site doesn't outvote the others.
+3. Document tokens are joined with this table.  A text with a garbled token is a case, unless the token is quoted as an
+   example.  So is one with replacement or control characters whose original the corpus doesn't have.
+4. Restoring substitutes the originals; a text whose bytes can be read whole in another way is read that way.  A form
+   that keeps less than half of its letters doesn't tell its original, and is left.
 """
 
 from __future__ import annotations
@@ -19,15 +21,18 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import durable, spread
+from ..session import spread, stored
 from .page import declared_charset
 
 # Names of public character encodings.  Wrong readings of UTF-8, and of one-byte encodings.
 UTF8_READ_AS = ("cp1252", "latin-1", "cp1251", "cp1250", "iso-8859-2", "koi8-r", "cp437", "cp850", "cp866", "mac-roman", "iso-8859-15")
 WRITTEN = ("cp1252", "cp1250", "cp1251", "koi8-r", "iso-8859-2", "iso-8859-5")
 READ_AS = ("cp1252", "latin-1", "cp1251", "cp1250", "koi8-r", "iso-8859-2", "iso-8859-5", "cp437", "cp850", "cp866", "mac-roman")
-#: An original must be on so many times as many pages as its garbled form; and on so many at least.
-COMMONER, LEAST_PAGES = 2.0, 2
+#: An original must have so many times the votes of its garbled form; a form of several bytes for one character, which
+#: betrays itself, needs so much less.
+COMMONER, BETRAYED = 2.0, 0.2
+#: The share of a form's characters that aren't lost, from which on it tells its original.
+TELLING = 0.5
 
 _TOKEN = re.compile(r"[A-Za-z]*[^\x00-\x7f\s][A-Za-z \u0085\u0080-\U0010ffff]*")
 _RUN = re.compile(r"[^\x00-\x7f]+")
@@ -56,7 +61,7 @@ def _defined(byte: int, name: str) -> bool:
 def chains() -> list[tuple[str, str]]:
     """All (written in, read as) pairs, and for UTF-8 those that happen twice."""
     once = [("utf-8", r) for r in UTF8_READ_AS] + [(w, r) for w in WRITTEN for r in READ_AS if w != r]
-    return once + [(f"utf-8>{a}", b) for a in ("cp1252", "latin-1", "cp1251") for b in ("cp1252", "latin-1", "cp1251")]
+    return once + [(w, "utf-8") for w in WRITTEN] + [(f"utf-8>{a}", b) for a in ("cp1252", "latin-1", "cp1251") for b in ("cp1252", "latin-1", "cp1251")]
 
 
 def garble(word: str, written: str, read: str) -> str | None:
@@ -65,6 +70,8 @@ def garble(word: str, written: str, read: str) -> str | None:
         if ">" in written:
             word_once = sloppy(word.encode("utf-8"), written.split(">")[1])
             out = sloppy(word_once.encode("utf-8"), read)
+        elif read == "utf-8":
+            out = word.encode(written).decode("utf-8", "replace")
         else:
             out = sloppy(word.encode(written), read)
     except UnicodeEncodeError:
@@ -109,55 +116,62 @@ def read_declared(content: bytes, content_type: str | None) -> str:
 
 
 def page_tokens(records: DataFrame) -> DataFrame:
-    """(row_id, field, broken, tokens): for each page its content, and its title if it has one.
+    """(row_id, host, field, broken, tokens): for each page its content, and its title if it has one.
 
     ``broken`` tells whether there are replacement or control characters.  Fields all in ASCII give no row.
     """
     m = F.col("metadata")
     pages = records.where(F.col("row_id").isNotNull() & m["warc-trec-id"].isNotNull() & (F.octet_length("content") > 0))
-    pages = spread(pages.select("row_id", m["content-type"].alias("type"), m["page-title"].alias("title"), "content"))
+    pages = spread(pages.select("row_id", m["content-type"].alias("type"), m["page-title"].alias("title"), F.lower(F.regexp_extract(m["warc-target-uri"], "^\\w+://([^/?#:]+)", 1)).alias("host"), "content"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for row_id, kind, title, content in zip(b["row_id"], b["type"], b["title"], b["content"]):
+            for row_id, host, kind, title, content in zip(b["row_id"], b["host"], b["type"], b["title"], b["content"]):
                 for field, text in (("content", read_declared(content, kind)), ("page-title", title)):
                     if text and (found := tokens_of(text)) or text and _BROKEN.search(text):
-                        out.append((row_id, field, _BROKEN.search(text) is not None, list(found)))
-            yield pd.DataFrame(out, columns=["row_id", "field", "broken", "tokens"])
+                        out.append((row_id, host, field, _BROKEN.search(text) is not None, list(found)))
+            yield pd.DataFrame(out, columns=["row_id", "host", "field", "broken", "tokens"])
 
-    return pages.mapInPandas(run, "row_id bigint, field string, broken boolean, tokens array<string>")
+    return pages.mapInPandas(run, "row_id bigint, host string, field string, broken boolean, tokens array<string>")
 
 
 def garbled_words(counts: DataFrame) -> DataFrame:
-    """(token, original, chain): the tokens of (token, pages) that are a garbled form of a commoner one.
+    """(token, original, chain): the tokens of (token, votes) that are a garbled form of a commoner one.
 
-    Of several originals the one on most pages counts, of these the smallest.
+    Of several originals the one with most votes counts, of these the smallest.
     """
 
     def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for word, pages in zip(b["token"], b["pages"]):
+            for word, votes in zip(b["token"], b["votes"]):
                 letters = _is_letters(word)
                 for form, chain in garbled_forms(word).items():
                     if (letters or chain.startswith("utf-8")) and not form.isascii():
-                        out.append((form, word, pages, chain))
-            yield pd.DataFrame(out, columns=["token", "original", "original_pages", "chain"])
-
-    words = counts.where((F.col("pages") >= LEAST_PAGES) & ~F.col("token").rlike("[�\u0080-\u009f]"))
-    table = words.repartition(counts.sparkSession.sparkContext.defaultParallelism, "token").mapInPandas(forms, "token string, original string, original_pages bigint, chain string")
-    # a form of several bytes for one character betrays itself; a swap of single letters needs a clearly commoner original
-    factor = F.when(F.col("chain").startswith("utf-8") & (F.length("token") > F.length("original")), F.lit(0.2)).otherwise(F.lit(COMMONER))
-    hits = counts.join(table, "token").where(F.col("original_pages") >= factor * F.col("pages"))
-    first = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("original_pages"), "original"))
+                        out.append((form, word, votes, chain))
+            yield pd.DataFrame(out, columns=["token", "original", "original_votes", "chain"])
+
+    table = counts.where(~F.col("token").rlike("[�\u0080-\u009f]")).mapInPandas(forms, "token string, original string, original_votes double, chain string")
+    longer = F.col("chain").startswith("utf-8") & (F.length("token") > F.length("original")) | F.col("token").contains("�")
+    hits = counts.join(table, "token").where(F.col("original_votes") >= F.when(longer, BETRAYED).otherwise(COMMONER) * F.col("votes"))
+    # where single characters are lost the rest of the word is a pattern that its original fits
+    key = lambda c: F.regexp_replace(c, "[^\\x00-\\x7f]", "�")
+    kept = F.length(F.regexp_replace("key", "�", "")) >= TELLING * F.length("key")
+    keyed = counts.withColumn("key", key("token")).where(kept)
+    clean = keyed.where(~F.col("token").rlike("[�\u0080-\u009f]")).select("key", F.col("token").alias("original"), F.col("votes").alias("original_votes"))
+    fits = F.rlike("original", F.concat(F.lit("^"), F.replace("token", F.lit("�"), F.lit(".")), F.lit("$")))
+    lost = keyed.where(F.col("token").contains("�")).join(clean, "key").where(fits & (F.col("original_votes") >= BETRAYED * F.col("votes")))
+    hits = hits.select("token", "original", "original_votes", "chain").union(lost.select("token", "original", "original_votes", F.lit("lost>utf-8")))
+    first = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("original_votes"), "original"))
     return hits.withColumn("_r", first).where("_r = 1").select("token", "original", "chain")
 
 
 def _evidence(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    pages = durable(page_tokens(records))
-    counts = durable(pages.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("pages")))
-    return pages, durable(garbled_words(counts))
+    pages = stored(page_tokens(records))
+    by_host = pages.select("host", F.explode("tokens").alias("token")).groupBy("token", "host").agg(F.count("*").alias("n"))
+    counts = stored(by_host.groupBy("token").agg(F.sum(F.sqrt("n")).alias("votes")))
+    return pages, stored(garbled_words(counts))
 
 
 def garbled_fields(records: DataFrame) -> DataFrame:
@@ -166,7 +180,7 @@ def garbled_fields(records: DataFrame) -> DataFrame:
     Text all in ASCII without control characters is never a case.  Records that are no pages give no row.
     """
     pages, table = _evidence(records)
-    hit = pages.where(~F.col("broken")).select("row_id", "field", F.explode("tokens").alias("token")).join(table.select("token"), "token", "left_semi")
+    hit = pages.select("row_id", "field", F.explode("tokens").alias("token")).join(table.select("token"), "token", "left_semi")
     return hit.select("row_id", "field").union(pages.where("broken").select("row_id", "field")).distinct()
 
 
@@ -199,7 +213,9 @@ def restored_fields(records: DataFrame) -> DataFrame:
     """
     pages, table = _evidence(records)
     broken = pages.where("broken").select("row_id", "field", F.lit(None).cast("string").alias("token"), F.lit(None).cast("string").alias("original"))
-    hits = pages.select("row_id", "field", F.explode("tokens").alias("token")).join(table.drop("chain"), "token").select("row_id", "field", "token", "original")
+    lost = F.length(F.regexp_replace("token", "[^�]", ""))
+    telling = table.where(lost <= (1 - TELLING) * F.length("token")).drop("chain")
+    hits = pages.select("row_id", "field", F.explode("tokens").alias("token")).join(telling, "token").select("row_id", "field", "token", "original")
     found = hits.union(broken).groupBy("row_id", "field").agg(F.map_from_entries(F.collect_set(F.when(F.col("token").isNotNull(), F.struct("token", "original")))).alias("originals"))
     m = F.col("metadata")
     texts = records.select("row_id", m["content-type"].alias("type"), m["page-title"].alias("title"), "content").join(found, "row_id")

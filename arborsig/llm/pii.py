@@ -31,12 +31,21 @@ GIVEN = frozenset(
     Ирина Дмитрий Виктор Наталья Павел Людмила Ольга Сергей Анна Елена Иван Мария Алексей Татьяна Николай Светлана""".split()
 )
 # Words that stand for digits, in the languages in use.
-DIGITS = dict(
-    zip(
-        "zero oh one two three four five six seven eight nine null eins zwei zwo drei vier fünf sechs sieben acht neun zéro un deux trois quatre cinq sept huit neuf cero uno dos tres cuatro cinco seis siete ocho nueve".split(),
-        "0 0 1 2 3 4 5 6 7 8 9 0 1 2 2 3 4 5 6 7 8 9 0 1 2 3 4 5 7 8 9 0 1 2 3 4 5 6 7 8 9".split(),
+DIGITS = {
+    word: str(digit)
+    for words in (
+        "zero one two three four five six seven eight nine",
+        "null eins zwei drei vier fünf sechs sieben acht neun",
+        "zéro un deux trois quatre cinq six sept huit neuf",
+        "cero uno dos tres cuatro cinco seis siete ocho nueve",
+        "zero um dois três quatro cinco seis sete oito nove",
+        "zero uno due tre quattro cinque sei sette otto nove",
+        "nul een twee drie vier vijf zes zeven acht negen",
+        "zero jeden dwa trzy cztery pięć sześć siedem osiem dziewięć",
+        "ноль один два три четыре пять шесть семь восемь девять",
     )
-)
+    for digit, word in enumerate(words.split())
+} | {"oh": "0", "zwo": "2"}
 # Top-level domains accepted after a spelled "dot" in small letters.
 TLDS = "test|example|invalid|localhost|com|org|net|edu|gov|info|biz|io|eu|de|fr|es|pt|it|nl|pl|ru|uk|us|at|ch|be"
 # Letters of other alphabets that look like Latin ones.
@@ -180,23 +189,18 @@ _STREETY = re.compile(r"\d.{0,40}(?i:street|\bst\b|road|\brd\b|avenue|\bave\b|la
 #: How long an address goes on after its house number: flat, town, post code.
 _FLAT, _CODE = r"(?:,? (?i:(?:apt\.?|flat|кв\.|m\.) ?\d+\w?)| ?[a-z]?/\d+| bajo|,? \d\.º [A-Z])", rf"(?:[A-Z]{{2}} ?\d{{5}}|[A-Z]{{2}}\d+ \d[A-Z]{{2}}|\d{{2,5}}(?:-\d{{3}})?(?: [A-Z]{{2}})?(?= {_CAP}))"
 _TAIL = re.compile(rf"{_FLAT}?(?:,? {_CODE}(?: {_CW})?|, {_CW}(?:,? {_CODE})?)?")
-#: Numbers are looked for around digits only, so far before and after them.
-BEFORE, BEHIND = 64, 110
-_NUMBER = re.compile(r"\d+")
+_DIGIT = re.compile(r"\d")
 #: What any phone or identity number has.
 _FIGURES = re.compile(r"(?:\d[ ().\-/]{0,2}){6}|[A-Z]\d|\d[A-Z]|[A-Z]{2} ?\d")
 
 
-def _windows(t: str) -> list[tuple[int, int]]:
-    """The stretches of text around digits."""
-    out: list[list[int]] = []
-    for m in _NUMBER.finditer(t):
-        a, b = max(0, m.start() - BEFORE), min(len(t), m.end() + BEHIND)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def numbered_lines(t: str) -> Iterator[tuple[int, int]]:
+    """The lines with digits, on one of which numbers and addresses stand."""
+    end = 0
+    while (m := _DIGIT.search(t, end)) is not None:
+        end = t.find("\n", m.end())
+        end = len(t) if end < 0 else end
+        yield t.rfind("\n", 0, m.start()) + 1, end
 
 
 _CAPS = re.compile(rf"(?<![\w'’]){_CAP}{_LOW}+(?:-{_CAP}{_LOW}+)?(?!\w)")
@@ -224,11 +228,52 @@ def is_given(word: str) -> bool:
     if k is None:
         if len(_given_seen) > 200_000:
             _given_seen.clear()
-        k = _given_seen[word] = _plain(word) in _GIVEN
+        k = _given_seen[word] = (p := _plain(word)) in _GIVEN or p in _gathered
     return k
 
 
+_gathered: frozenset[str] = frozenset()
+
+
+def know(names: list[str]) -> None:
+    """Takes these as given names too, in this process, in place of those it was given before."""
+    global _gathered
+    fresh = frozenset(map(_plain, names))
+    if fresh != _gathered:
+        _gathered = fresh
+        _given_seen.clear()
+
+
+#: A title, then given names or initials and a surname; titles are evidence of a name, whatever names are known.
+_TITLE = rf"(?<![\w.])(?i:{'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})\.? "
+_TITLED = re.compile(rf"{_TITLE}((?:{_SURNAME}|{_CAP}\.)(?: (?:{_SURNAME}|{_CAP}\.))? {_SURNAME})(?!\w)")
+#: The same for gathering given names over all texts: how many texts a word must follow titles in as a given name, with
+#: how many different surnames, and how many of the commonest such words are taken.
+GATHER_TEXTS, GATHER_SURNAMES, GATHERED = 3, 3, 100_000
+
+
+def gathered_names(texts: DataFrame, text: str) -> list[str]:
+    """Given names that stand between titles and surnames in several texts, as the corpus has them beside the list.
+
+    Titles are followed by surnames alone as well, in some languages before other capitals; so a word counts only if
+    it doesn't itself stand as a surname, behind other given names, as often.
+    """
+    titles = "|".join(sorted({x for t in TITLES for x in (t, t.capitalize(), t.upper())}, key=len, reverse=True))
+    word = r"\p{Lu}\p{Ll}[\p{L}’'-]*"
+    found = texts.where(F.col(text).isNotNull()).select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\d.])(?:{titles})\.? ({word} {word})(?![\p{{L}}])"), F.lit(1)))).alias("pair"))
+    parts = F.split("pair", " ")
+    pairs = found.groupBy("pair").count().select(parts[0].alias("given"), parts[1].alias("surname"), "count")
+    given = pairs.groupBy(F.col("given").alias("word")).agg(F.sum("count").alias("n"), F.count("*").alias("surnames"))
+    last = pairs.groupBy(F.col("surname").alias("word")).agg(F.sum("count").alias("behind"))
+    kept = given.where((F.col("n") >= GATHER_TEXTS) & (F.col("surnames") >= GATHER_SURNAMES)).join(last, "word", "left").where(F.col("n") > F.coalesce("behind", F.lit(0)))
+    return sorted(r["word"] for r in kept.orderBy(F.desc("n"), "word").limit(GATHERED).select("word").collect() if r["word"].lower() not in TITLES | NO_SURNAME)
+
+
 def _names(t: str) -> Iterator[tuple[int, int]]:
+    for m in _TITLED.finditer(t):
+        last = m[1].rpartition(" ")[2].lower()
+        if last not in NO_SURNAME and not any(w.rstrip(".").lower() in TITLES for w in m[1].split()):
+            yield m.span(1)
     done = 0
     for m in _CAPS.finditer(t):
         if m.start() < done or not is_given(m[0]):
@@ -270,7 +315,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str, int]] = []  # the last is the rank: the lower wins where spans overlap
     if "@" in t:
         found += [(m.start(), m.end(), "email", 0) for m in _EMAIL.finditer(t)]
-    for lo, hi in _windows(t):
+    for lo, hi in numbered_lines(t):
         if _STREETY.search(t, lo, hi):
             for p in _ADDRESS:
                 for m in p.finditer(t, lo, hi):
@@ -286,11 +331,14 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
                     found.append((m.start(), m.end(), "phone", 4))
     found += [(a, b, "name", 5) for a, b in _names(t)]
     found.sort(key=lambda x: (x[3], x[0], -x[1]))
-    kept: list[tuple[int, int, str]] = []
+    starts: list[int] = []  # of the spans kept, which are apart, in order
+    kept: dict[int, tuple[int, str]] = {}
     for a, b, kind, _ in found:
-        if all(b <= c or a >= d for c, d, _ in kept):
-            kept.append((a, b, kind))
-    return sorted((norm.source(a), norm.source(b), kind) for a, b, kind in kept)
+        i = bisect_right(starts, a)
+        if (not i or kept[starts[i - 1]][0] <= a) and (i == len(starts) or starts[i] >= b):
+            starts.insert(i, a)
+            kept[a] = (b, kind)
+    return [(norm.source(a), norm.source(kept[a][0]), kept[a][1]) for a in starts]
 
 
 #: What stands in a mention's place.
@@ -313,8 +361,10 @@ def find_personal(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     rows = spread(df.select(key, text))
     kind = rows.schema[key].dataType.simpleString()
+    names = df.sparkSession.sparkContext.broadcast(gathered_names(df, text))  # at most GATHERED
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        know(names.value)
         for b in batches:
             out = [(k, s, e - s, what) for k, t in zip(b[key], b[text]) if t for s, e, what in find_spans(t)]
             yield pd.DataFrame(out, columns=[key, "pos", "length", "kind"])
@@ -326,8 +376,10 @@ def redact_personal(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, text): the texts with typed placeholders in place of the mentions; null texts stay null."""
     rows = spread(df.select(key, text))
     kind = rows.schema[key].dataType.simpleString()
+    names = df.sparkSession.sparkContext.broadcast(gathered_names(df, text))  # at most GATHERED
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        know(names.value)
         for b in batches:
             yield pd.DataFrame({key: b[key], text: [redact(t, find_spans(t)) if t else t for t in b[text]]})
 

@@ -25,9 +25,9 @@ def test_affected_fields(spark):
     assert found == {(i, "content") for i in bad} | {(44, "page-title")}
     back = {(r["row_id"], r["field"]): r for r in restored_fields(df).collect()}
     assert set(back) == found
-    for i in (21, 22, 23):
+    for i in (21, 22, 23, 26):  # 26 has lost a character that the corpus' word has
         assert back[(i, "content")]["restored"] == CLEAN and back[(i, "content")]["complete"]
-    assert back[(44, "page-title")]["restored"] == "Müller" and not back[(26, "content")]["complete"]
+    assert back[(44, "page-title")]["restored"] == "Müller"
 
 
 def test_empty_table(spark):

@@ -45,3 +45,28 @@ def test_tables(spark):
     assert texts == ["Ask [NAME], [EMAIL]."] * 2 + ["[EMAIL]"]
     assert find_personal(df.limit(0), "doc_id").count() == 0
     assert redact("abc", [(1, 2, "name")]) == "a[NAME]c"
+
+
+def test_titles_are_evidence_of_names_that_no_list_has(spark):
+    assert [(s[2]) for s in find_spans("Ask Frau Jennifer Becker or Mr. Kwame K. Mensah, not Mr Walker.")] == ["name", "name"]
+    rows = [(i, f"We met Mr {n} there.") for i, n in enumerate(["Priya Sharma", "Priya Nair", "Priya Gupta", "Marco Polo Airport", "Sharma Building"])] + [(9, "Later Priya Anand wrote."), (10, "The Sharma Building is old.")]
+    found = {(r["doc_id"], r["pos"], r["length"]) for r in find_personal(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id").collect() if r["kind"] == "name"}
+    assert (9, 6, 11) in found and not [f for f in found if f[0] == 10]
+
+
+def test_spelled_digits_in_all_languages():
+    for words in ("zero quatro um dois três quatro cinco", "nul vier een twee drie vier vijf", "ноль четыре один два три четыре пять", "zero cztery jeden dwa trzy cztery pięć"):
+        assert normalise(f"Tel: {words}.").text == "Tel: 0412345."
+
+
+def test_many_mentions_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        text = " ".join(f"Write to a{i}@example.com or call +49 30 12345{i % 100:02d}." for i in range(n))
+        began = time.perf_counter()
+        assert len(find_spans(text)) == 2 * n
+        return time.perf_counter() - began
+
+    seconds(200)
+    assert seconds(8000) < 12 * seconds(1000) + 1
