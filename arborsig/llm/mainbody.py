@@ -296,6 +296,8 @@ class Stretches:
         return inside, outside
 
     def _unit(self, text: str) -> tuple[list[int], list[int]]:
+        if text.count(" ") < 2:
+            return [], []
         inside: set[str] = set()
         outside: set[str] = set()
         for s in _STOP.split(_ADDRESS.sub(" ", text) if "://" in text else text):
@@ -327,7 +329,7 @@ def sentence_words(text: str, vocabulary: Vocabulary) -> tuple[int, list[str]]:
         every += words
         if n >= 3:
             apart = set(words)
-            if (len(apart) > 0.5 * n and vocabulary.known(apart) >= 0.45 * len(apart)) or (n >= 5 and _GARBLED.search(s) and not _ROWS.search(s) and len(set(s.split())) > 0.6 * len(s.split())):
+            if (len(apart) > 0.5 * n and vocabulary.known(apart) >= 0.45 * len(apart)) or (n >= 5 and not s.isascii() and _GARBLED.search(s) and not _ROWS.search(s) and len(set(s.split())) > 0.6 * len(s.split())):
                 inside += n
     return inside, every
 

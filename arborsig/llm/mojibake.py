@@ -152,7 +152,7 @@ def garbled_words(counts: DataFrame) -> DataFrame:
                         out.append((form, word, votes, chain))
             yield pd.DataFrame(out, columns=["token", "original", "original_votes", "chain"])
 
-    table = counts.where(~F.col("token").rlike("[�\u0080-\u009f]")).mapInPandas(forms, "token string, original string, original_votes double, chain string")
+    table = spread(counts.where(~F.col("token").rlike("[�\u0080-\u009f]"))).mapInPandas(forms, "token string, original string, original_votes double, chain string")
     longer = F.col("chain").startswith("utf-8") & (F.length("token") > F.length("original")) | F.col("token").contains("�")
     hits = counts.join(table, "token").where(F.col("original_votes") >= F.when(longer, BETRAYED).otherwise(COMMONER) * F.col("votes"))
     # where single characters are lost the rest of the word is a pattern that its original fits

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import spread
+from ..session import spread, stored
 
 # Common given names of the languages in use.
 GIVEN = frozenset(
@@ -262,7 +262,7 @@ def gathered_names(texts: DataFrame, text: str) -> list[str]:
     word = r"\p{Lu}\p{Ll}[\p{L}’'-]*"
     found = texts.where(F.col(text).isNotNull()).select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\d.])(?:{titles})\.? ({word} {word})(?![\p{{L}}])"), F.lit(1)))).alias("pair"))
     parts = F.split("pair", " ")
-    pairs = found.groupBy("pair").count().select(parts[0].alias("given"), parts[1].alias("surname"), "count")
+    pairs = stored(found.groupBy("pair").count().select(parts[0].alias("given"), parts[1].alias("surname"), "count"))
     given = pairs.groupBy(F.col("given").alias("word")).agg(F.sum("count").alias("n"), F.count("*").alias("surnames"))
     last = pairs.groupBy(F.col("surname").alias("word")).agg(F.sum("count").alias("behind"))
     kept = given.where((F.col("n") >= GATHER_TEXTS) & (F.col("surnames") >= GATHER_SURNAMES)).join(last, "word", "left").where(F.col("n") > F.coalesce("behind", F.lit(0)))

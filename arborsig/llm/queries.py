@@ -18,7 +18,7 @@ from .vectorknn import nearest_vectors, neighbour_pairs
 
 def p1_found(spark, d):
     judged = stored(judge_pages(table(spark, d, "records"), table(spark, d, "langrefs")))
-    bodies = judged.join(spam_pages(judged), "row_id", "left_anti")
+    bodies = judged.join(stored(spam_pages(judged).select("row_id")), "row_id", "left_anti")
     return bodies.select("row_id", F.explode(F.col("lines").cast("array<bigint>")).alias("line_no"))
 
 
