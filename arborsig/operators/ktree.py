@@ -45,6 +45,11 @@ class KTreeKernel:
     def _nearest(self, value, keys: list) -> int:
         return int(self.distance.matrix(self.distance.rows([value]), self.distance.rows(keys))[0].argmin())
 
+    @staticmethod
+    def count(node: _Node) -> int:
+        """The number of objects below a node."""
+        return node.count
+
     @staticmethod
     def _weights(node: _Node) -> list[int]:
         """How many objects each of a node's keys stands for."""
