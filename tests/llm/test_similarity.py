@@ -51,6 +51,21 @@ def test_clusters_equal_the_model(spark, block, probe):
     assert all(len(r["typical_ids"]) == min(3, r["size"]) for r in sizes.values())
 
 
+def test_clusters_of_parts_far_from_each_other_are_found(spark):
+    r, rows = random.Random(3), []
+    for k in (2, 3, 6, 12):  # parts of k near copies each, 22 to 24 bits from one another: the flow parts them
+        for parts in (2, 3):
+            base, places = r.getrandbits(256), r.sample(range(256), 256)
+            for g in range(parts):
+                far = places[:22] if parts == 2 and g else places[11 * g : 11 * g + 11] if parts == 3 else []
+                rows += [(f"k{k}p{parts}g{g}i{i:02d}", base ^ sum(1 << b for b in [*far, places[100 + 30 * g + i]])) for i in range(k)]
+    a = r.getrandbits(256)  # two parts that one member too far from the other keeps from being a cluster
+    rows += [(f"x{i}", a ^ ((1 << 22) - 1 if i > 3 else 0) ^ (1 << 40 + i)) for i in range(8)] + [("x8", a ^ (1 << 50) - (1 << 46))]
+    found = similarity_clusters(spark.createDataFrame([(i, signed(x), 1, 2) for i, x in rows], SIG))
+    assert {(c["cluster_id"], c["id"]) for c in found.collect()} == model(rows) and len(model(rows)) == 115
+    assert all(abs(c["sum(flow)"] - 1) < 1e-9 for c in found.groupBy("cluster_id").sum("flow").collect())
+
+
 def test_typical_members_are_the_nearest_to_all_others(spark):
     r = random.Random(5)
     rows = []
