@@ -1,6 +1,6 @@
 import pytest
 
-from arborsig.llm.language import doubtful_labels, main_languages, whole_sentences
+from arborsig.llm.language import doubtful_labels, language_segments, main_languages, whole_sentences
 from arborsig.llm.mainbody import fingerprint, is_menu, judge_pages
 from arborsig.llm.page import declared_charset, parse, readable
 from arborsig.llm.spam import spam_pages
@@ -36,6 +36,18 @@ def test_languages(spark, records, langrefs):
     assert found == [(300, "de"), (300, "en"), (301, "de"), (303, "en")]
 
 
+def test_every_page_has_a_language(spark, records, langrefs):
+    from arborsig.session import durable
+
+    wrong = [record(305, page(305, ["lamp kettle mirror drawer " * 15]), label="de"), record(306, page(306, []), uri="http://nothing.test/1", label="fr-CA")]
+    pages = durable(main_languages(records.where("row_id < 204").union(spark.createDataFrame(wrong, records.schema)), langrefs, spam_pages))
+    shown = {r["row_id"]: r for r in language_segments(pages).collect()}
+    assert set(shown) == {*range(24), *range(100, 112), 305, 306}  # keyword pages and one without text among them
+    assert all(r["page_lang"] and 0 < r["page_confidence"] <= 1 for r in shown.values()) and shown[306]["lang"] is None
+    assert {r["row_id"] for r in pages.where("body").collect()} == set(range(24))
+    assert doubtful_labels(pages).count() == 0
+
+
 def test_empty_tables(spark, records, langrefs):
     none = records.limit(0)
     judged = judge_pages(none, langrefs)
