@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stored
-from .mainbody import hashed, judge_pages
+from .mainbody import hashed, judge_pages, words_of
 
 #: Log-likelihood of a known word over that of an unknown one is bounded, so that no single word decides.
 MOST_A_WORD = 4.0
@@ -115,7 +115,7 @@ def whole_sentences(text: str) -> list[list[str]]:
         if not _ENDS.search(pieces[-1]):
             pieces.pop()
         for s in pieces:
-            words = _WORD.findall(s)
+            words = words_of(s)
             if len(words) >= 3:
                 found.append(words)
     return found
@@ -140,11 +140,6 @@ class Patterns(dict):
         return hashed(" ".join([self[words[0].lower()], *map(self.__getitem__, words[1:])]))
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max())
-    return e / e.sum()
-
-
 def suffix_of(host: str) -> str:
     return host.rpartition(".")[2]
 
@@ -215,7 +210,7 @@ def page_languages(judged: DataFrame, langrefs: DataFrame) -> DataFrame:
                 text = text or ""
                 sentences = whole_sentences(text)
                 each = m.scores(sentences) if sentences else np.zeros((0, n))
-                words = [] if sentences else _WORD.findall(text)
+                words = [] if sentences else words_of(text)
                 total = each.sum(0) if sentences else m.scores([words])[0] if words else np.zeros(n)
                 out.append((row_id, host, suffix_of(host), bool(body and text.strip()), label, html, int(total.argmax()), total, each.astype(np.float32).ravel(), each.argmax(1).astype(np.int32) if sentences else [], [patterns.of(x) for x in sentences]))
             yield pd.DataFrame(out, columns=["row_id", "host", "suffix", "body", "label", "html", "top", "total", "each", "tops", "patterns"])
@@ -229,34 +224,48 @@ def page_languages(judged: DataFrame, langrefs: DataFrame) -> DataFrame:
     others = math.log((1 - DECLARED) / (n - 1 or 1))
     here = math.log(DECLARED) - others
 
+    mixes = np.full((n, n), math.log(MIXING / (n - 1 or 1)))
+    np.fill_diagonal(mixes, math.log(1 - MIXING))
+
+    def fuse_some(b: pd.DataFrame) -> pd.DataFrame:
+        k, number = len(b), np.array([len(x) // n for x in b["each"]])
+        said = np.zeros((k, n))
+        for column in ("label", "html"):
+            for i, d in enumerate(map(declared, b[column])):
+                if d in place:
+                    said[i] += others
+                    said[i, place[d]] += here
+        # a page's sentences aren't independent evidence: their weight falls off with their number
+        page = np.stack(b["prior"].to_numpy()) + 0.5 * said + np.stack(b["total"].to_numpy()) / np.sqrt(np.maximum(number, 1))[:, None]
+        page = np.exp(page - page.max(1, keepdims=True))
+        page /= page.sum(1, keepdims=True)
+        own = page.argmax(1)
+        # all pages' sentences one after the other
+        at, starts = np.repeat(np.arange(k), number), np.cumsum(number) - number
+        post = np.concatenate(b["each"].to_numpy()).astype(np.float64).reshape(-1, n) + mixes[own[at]]
+        post = np.exp(post - post.max(1, keepdims=True))
+        post /= post.sum(1, keepdims=True)
+        tops = post.argmax(1)
+        sure = post[np.arange(len(tops)), tops]
+        certain = sure >= SURE
+        for i, (patterns, stray) in enumerate(zip(b["patterns"], b["strays"])):
+            if stray is not None:
+                certain[starts[i] : starts[i] + number[i]] &= ~np.isin(patterns, stray)
+        counted = (tops == own[at]) | certain
+        counts = np.bincount(at[counted] * n + tops[counted], minlength=k * n).reshape(k, n).tolist()
+        segments: list[list[dict]] = [[] for _ in range(k)]
+        if len(tops):
+            cuts = np.flatnonzero(np.r_[True, (tops[1:] != tops[:-1]) | (at[1:] != at[:-1])])
+            runs = np.diff(np.r_[cuts, len(tops)])
+            for i, g, first, m, mean in zip(at[cuts].tolist(), tops[cuts].tolist(), (cuts - starts[at[cuts]]).tolist(), runs.tolist(), (np.add.reduceat(sure, cuts) / runs).tolist()):
+                segments[i].append({"lang": langs[g], "first": first, "number": m, "confidence": mean})
+        by_language = [{langs[g]: c for g, c in enumerate(row) if c} for row in counts]
+        return pd.DataFrame({"row_id": b["row_id"], "body": b["body"], "label": b["label"], "lang": [langs[g] for g in own], "confidence": page[np.arange(k), own], "sentences": by_language, "segments": segments})
+
     def fuse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for row_id, body, label, html, total, each, prior, patterns, stray in zip(b["row_id"], b["body"], b["label"], b["html"], b["total"], b["each"], b["prior"], b["patterns"], b["strays"]):
-                said = np.zeros(n)
-                for d in (declared(label), declared(html)):
-                    if d in place:
-                        said += others
-                        said[place[d]] += here
-                before = np.asarray(prior) + 0.5 * said
-                each = np.asarray(each, dtype=np.float64).reshape(-1, n)
-                # a page's sentences aren't independent evidence: their weight falls off with their number
-                page = softmax(before + np.asarray(total) / max(1.0, math.sqrt(len(each) or 1)))
-                own = int(page.argmax())
-                segments, counts = [], {}
-                if len(each):
-                    mix = np.full(n, math.log(MIXING / (n - 1 or 1)))
-                    mix[own] = math.log(1 - MIXING)
-                    post = np.exp(each + mix - (each + mix).max(1, keepdims=True))
-                    post /= post.sum(1, keepdims=True)
-                    tops = post.argmax(1)
-                    sure = post[np.arange(len(tops)), tops]
-                    cuts = [0, *(np.flatnonzero(tops[1:] != tops[:-1]) + 1).tolist(), len(tops)]
-                    segments = [{"lang": langs[tops[i]], "first": i, "number": j - i, "confidence": float(sure[i:j].mean())} for i, j in zip(cuts, cuts[1:])]
-                    counted = (tops == own) | ((sure >= SURE) & ~np.isin(patterns, [] if stray is None else stray))
-                    counts = {langs[g]: int(k) for g, k in enumerate(np.bincount(tops[counted], minlength=n)) if k}
-                out.append((row_id, body, label, langs[own], float(page[own]), counts, segments))
-            yield pd.DataFrame(out, columns=["row_id", "body", "label", "lang", "confidence", "sentences", "segments"])
+            for s in range(0, len(b), 500):
+                yield fuse_some(b.iloc[s : s + 500])
 
     return joined.select("row_id", "body", "label", "html", "total", "each", "prior", "patterns", "strays").mapInPandas(fuse, _LANGUAGES)
 
@@ -276,8 +285,9 @@ def language_segments(languages: DataFrame) -> DataFrame:
     return languages.select("row_id", F.col("lang").alias("page_lang"), F.round("confidence", 4).alias("page_confidence"), F.inline_outer("segments"))
 
 
-def main_languages(records: DataFrame, langrefs: DataFrame, spam) -> DataFrame:
-    """``page_languages`` of all pages among ``records``; ``spam`` picks the pages that have no main body."""
+def main_languages(records: DataFrame, langrefs: DataFrame, spam, every: bool = True) -> DataFrame:
+    """``page_languages`` of all pages among ``records``, or of those with a main body; ``spam`` picks the pages without one."""
     judged = stored(judge_pages(records, langrefs, with_text=True))
     without = stored(spam(judged).select("row_id").distinct()).withColumn("without", F.lit(True))
-    return page_languages(judged.join(without, "row_id", "left").withColumn("body", F.col("without").isNull()), langrefs)
+    marked = judged.join(without, "row_id", "left").withColumn("body", F.col("without").isNull())
+    return page_languages(marked if every else marked.where("body"), langrefs)

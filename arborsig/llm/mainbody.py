@@ -55,6 +55,7 @@ _SIGN = 1 << 63
 _DIGITS = re.compile(r"\d+")
 _LEAD = re.compile(r"^(\D{2,28}?)\s?:\s")
 _NAV = re.compile(r"\s[|»›>·•]\s")
+_BARS = re.compile("[|»›>·•]")
 _WORD = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ʯͰ-῿Ⰰ-\u2fff\u3040-\ud7ff]+")
 _HOST = re.compile(r"^\w+://([^/?#:]+)")
 _GARBLED = re.compile("[ÃÂâÐÑРСÅÄ][\x80-\xbf‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ°]|[\x80-\x9f�]")
@@ -63,6 +64,15 @@ _ROWS = re.compile("[|;#]")
 _STOP = re.compile(r"[.!?…][\"”»“'’)\]]*\s+")
 
 
+#: Bytes of ASCII text other than letters to blanks.
+_BLANKS = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text; plain ASCII is cut without a regular expression."""
+    return text.encode("ascii").translate(_BLANKS).decode("ascii").split() if text.isascii() else _WORD.findall(text)
+
+
 def host_of(uri: str | None) -> str:
     m = _HOST.match(uri or "")
     return m[1].lower() if m else ""
@@ -78,13 +88,18 @@ def fingerprint(text: str, host: str) -> int:
     t = text.lower()
     if host:
         t = t.replace(host, "\x01")
-    m = _LEAD.match(t)
+    m = _LEAD.match(t) if t.find(":", 2, 30) > 0 else None
     return hashed(m[1] if m else _DIGITS.sub("0", t))
 
 
+def has_bars(text: str) -> bool:
+    """True for text with a separator of menus between white space."""
+    return _BARS.search(text) is not None and _NAV.search(text) is not None
+
+
 def is_menu(text: str) -> bool:
     """True for short pieces between separators: menus and paths."""
-    if not _NAV.search(text):
+    if not has_bars(text):
         return False
     pieces = _NAV.split(text)
     return sum(len(p.split()) <= 4 for p in pieces) * 2 > len(pieces) and len(text) < MENU_CHARS
@@ -93,7 +108,7 @@ def is_menu(text: str) -> bool:
 def unit_points(text: str, linked: int, hidden: bool) -> float:
     """A paragraph's points; 0 for hidden and short text and for menus."""
     n = len(text)
-    if hidden or n < 25 or _NAV.search(text):
+    if hidden or n < 25 or has_bars(text):
         return 0.0
     return (1 + text.count(",") + min(n / 100, 3.0)) * max(0.0, 1 - linked / n)
 
@@ -156,7 +171,7 @@ def parse_pages(records: DataFrame, samples: frozenset[int] = frozenset()) -> Da
                 menu = [is_menu(u.text) for u in p.units]
                 blob = marshal.dumps(([(u.node, u.tag, u.text, u.lines, u.linked, u.hidden, u.links) for u in p.units], [(n.name, n.sig, n.parent, n.units, n.children) for n in p.nodes], fp, each, menu, p.lang))
                 yes, no = stretches.of(p)
-                out.append((row_id, host, label, body_hash(p, points, host), list(own), list(own.values()), list(nodes), list(nodes.values()), list(yes), list(no), blob))
+                out.append((row_id, host, label, body_hash(p, points, host), list(own), list(own.values()), list(nodes), list(nodes.values()), yes, no, blob))
             yield pd.DataFrame(out, columns=names)
 
     return pages.mapInPandas(run, "row_id bigint, host string, label string, body bigint, fps array<bigint>, fshares array<float>, sigs array<bigint>, shares array<float>, words array<bigint>, others array<bigint>, blob binary")
@@ -248,31 +263,41 @@ def main_units(page: Page, fp: list[int], each: list[float], menu: list[bool], w
     return [k for k, (u, o) in enumerate(zip(units, odd)) if inside[u.node] and not o]
 
 
-class Hashes(dict):
-    """Words to the hashes of their lower-case forms."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        k = self[word] = hashed(word.lower())
-        return k
-
-
 class Vocabulary(dict):
-    """The words that sentences are made of, given as hashes: 1 for a word among them, else 0."""
+    """Words to numbers from 0 on.  Lists by number have the hash of a word's lower-case form, the number of that form, and
+    the word's shape: 1 for under four letters plus 2^32 for a capital at its start, so that one sum counts both.
+    ``marked`` are the numbers of the words that sentences are made of, which are given as hashes."""
 
     def __init__(self, sums: frozenset[int]):
         super().__init__()
-        self.sums = sums
+        self.sums, self.hashes, self.lows, self.shapes, self.marked = sums, [], [], [], set()
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        k = self[word] = int(hashed(word.lower()) in self.sums)
+        k = self[word] = len(self.hashes)
+        low = word.lower()
+        h = hashed(low)
+        self.hashes.append(h)
+        self.lows.append(k)
+        self.shapes.append((len(word) < 4) + (word[0].isupper() << 32))
+        if h in self.sums:
+            self.marked.add(k)
+        if low != word:
+            self.lows[k] = self[low]
         return k
 
-    def known(self, words) -> int:
-        return sum(map(self.__getitem__, words))
+    def bounded(self) -> bool:
+        """Forgets all words if there are many, so that numbers had before mean nothing; True if it did."""
+        if len(self) <= 200_000:
+            return False
+        for held in (self, self.hashes, self.lows, self.shapes, self.marked):
+            held.clear()
+        return True
+
+    def numbers(self, words) -> list[int]:
+        return list(map(self.__getitem__, words))
+
+    def known(self, numbers: set[int]) -> int:
+        return len(numbers & self.marked)
 
 
 class Stretches:
@@ -280,11 +305,13 @@ class Stretches:
     others.  What recurring units give is remembered, within a bound."""
 
     def __init__(self, samples: frozenset[int]):
-        self.vocabulary, self.hashes, self.seen = Vocabulary(samples), Hashes(), {}
+        self.vocabulary, self.seen = Vocabulary(samples), {}
 
-    def of(self, page: Page) -> tuple[set[int], set[int]]:
+    def of(self, page: Page) -> tuple[list[int], list[int]]:
         inside: set[int] = set()
         outside: set[int] = set()
+        if self.vocabulary.bounded():
+            self.seen.clear()
         for u in page.units:
             found = self.seen.get(u.text)
             if found is None:
@@ -293,27 +320,29 @@ class Stretches:
                 found = self.seen[u.text] = self._unit(u.text)
             inside.update(found[0])
             outside.update(found[1])
-        return inside, outside
+        hashes = self.vocabulary.hashes.__getitem__
+        return list(map(hashes, inside)), list(map(hashes, outside))
 
     def _unit(self, text: str) -> tuple[list[int], list[int]]:
         if text.count(" ") < 2:
             return [], []
-        inside: set[str] = set()
-        outside: set[str] = set()
+        inside: set[int] = set()
+        outside: set[int] = set()
         for s in _STOP.split(_ADDRESS.sub(" ", text) if "://" in text else text):
-            words = _WORD.findall(s)
+            words = words_of(s)
             n = len(words)
             if n >= 3:
-                apart = set(words)
+                apart = set(self.vocabulary.numbers(words))
                 if n >= 5 and len(apart) > 0.7 * n and self.vocabulary.known(apart) >= max(3, 0.3 * len(apart)):
-                    inside |= apart
+                    inside = inside | apart if inside else apart
                 else:
-                    outside |= apart
-        return list(map(self.hashes.__getitem__, inside)), list(map(self.hashes.__getitem__, outside))
+                    outside = outside | apart if outside else apart
+        lows = self.vocabulary.lows.__getitem__
+        return list(map(lows, inside)), list(map(lows, outside))
 
 
-def sentence_words(text: str, vocabulary: Vocabulary) -> tuple[int, list[str]]:
-    """(words in sentences, all words) of a unit.
+def sentence_words(text: str, vocabulary: Vocabulary) -> tuple[int, list[int]]:
+    """(words in sentences, numbers of all words) of a unit.
 
     A stretch of text counts as a sentence if enough of its words are ones that sentences are made of, or, where the
     words are garbled, if it looks like one.
@@ -321,14 +350,14 @@ def sentence_words(text: str, vocabulary: Vocabulary) -> tuple[int, list[str]]:
     inside, every = 0, []
     if "://" in text or "www." in text:  # an address is as many words as it has letters' runs, none in a sentence
         for a in _ADDRESS.findall(text):
-            every += _WORD.findall(a)
+            every += vocabulary.numbers(words_of(a))
         text = _ADDRESS.sub(" ", text)
     for s in _STOP.split(text):
-        words = _WORD.findall(s)
-        n = len(words)
-        every += words
+        numbers = vocabulary.numbers(words_of(s))
+        n = len(numbers)
+        every += numbers
         if n >= 3:
-            apart = set(words)
+            apart = set(numbers)
             if (len(apart) > 0.5 * n and vocabulary.known(apart) >= 0.45 * len(apart)) or (n >= 5 and not s.isascii() and _GARBLED.search(s) and not _ROWS.search(s) and len(set(s.split())) > 0.6 * len(s.split())):
                 inside += n
     return inside, every
@@ -342,7 +371,9 @@ def features(page: Page, region: list[int], vocabulary: Vocabulary) -> list[floa
     from math import log1p
 
     total = inside = hidden = linked = chars = links = seps = ends = caps = short = apart = 0
-    seen: set[str] = set()
+    seen: set[int] = set()
+    vocabulary.bounded()
+    shapes, lows = vocabulary.shapes.__getitem__, vocabulary.lows.__getitem__
     for k in region:
         u = page.units[k]
         if u.tag in HEADINGS or u.tag == "b":
@@ -350,12 +381,13 @@ def features(page: Page, region: list[int], vocabulary: Vocabulary) -> list[floa
         s, words = sentence_words(u.text, vocabulary)
         n = len(words)
         total, inside, hidden, linked, chars, links = total + n, inside + s, hidden + n * u.hidden, linked + u.linked, chars + len(u.text), links + u.links
-        seps += sum(map(u.text.count, ("|", ";", "#", ",", "/")))
-        ends += sum(map(u.text.count, ".!?"))
-        caps += sum(map(str.isupper, [w[0] for w in words]))
-        low = set(map(str.lower, words))
+        count = u.text.count
+        seps += count("|") + count(";") + count("#") + count(",") + count("/")
+        ends += count(".") + count("!") + count("?")
+        forms = sum(map(shapes, words))
+        caps, short = caps + (forms >> 32), short + (forms & 0xFFFFFFFF)
+        low = set(map(lows, words))
         apart += len(low)
-        short += sum(map((4).__gt__, map(len, words)))
         seen |= low
     t = max(total, 1)
     return [log1p(total), 1 - inside / t if total else 0.0, hidden / t, linked / max(chars, 1), links / t, len(seen) / t, seps / t, ends / t, total / max(len(region), 1), caps / t, short / t, (total - apart) / t]

@@ -100,11 +100,18 @@ def _sig(tag: str, parent: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+#: Elements that don't hold units of their own; all others are blocks.
+_OTHER = INLINE | VOID | {"br", "script", "style", "title", "html", "head", "body", "hr"}
+
+
 @lru_cache(maxsize=20_000)
-def _tag(piece: str) -> tuple[str, bool]:
-    """(element, whether it is an end tag); no element for comments and declarations."""
+def _tag(piece: str) -> tuple[str, bool, bool]:
+    """(element, whether it is an end tag, whether it is a block's); no element for comments and declarations."""
     m = _NAME.match(piece)
-    return (m[1].lower(), piece[1] == "/") if m else ("", False)
+    if not m:
+        return "", False, False
+    name = m[1].lower()
+    return name, piece[1] == "/", name not in _OTHER
 
 
 def parse(text: str) -> Page:
@@ -150,21 +157,23 @@ def parse(text: str) -> Page:
         if not k & 1:
             if not piece:
                 continue
-            if "\n" not in piece:
-                if not piece.isspace():
-                    if "&" in piece:
-                        piece = html.unescape(piece)
-                    if in_title:
-                        page.title += piece
-                    elif piece[0] != "<":
-                        if not at or at[-1] != line:
-                            at.append(line)
-                        buf.append(piece)
-                        if in_link:
-                            linked += len(piece)
-                elif at:
+            if piece.isspace():
+                line += piece.count("\n")
+                if at:
                     buf.append(" ")
                 continue
+            if "\n" not in piece:
+                if "&" in piece:
+                    piece = html.unescape(piece)
+                if in_title:
+                    page.title += piece
+                elif piece[0] != "<":
+                    if not at or at[-1] != line:
+                        at.append(line)
+                    buf.append(piece)
+                    if in_link:
+                        linked += len(piece)
+                continue
             for j, part in enumerate(piece.split("\n")):
                 if j:
                     line += 1
@@ -188,40 +197,19 @@ def parse(text: str) -> Page:
             in_link = 0
             buf.append(" ")
         else:
-            name, ends = _tag(piece) if len(piece) < 40 else _tag.__wrapped__(piece)
-            if name:
-                if name == "br":
-                    flush()
-                elif name in INLINE:
-                    if name in ("b", "strong") and not ends and not at:
-                        bold = True
-                    if name == "a":
-                        in_link = 0 if ends else 1
-                elif name in ("script", "style") or name in VOID:
-                    pass
-                elif name == "title":
-                    in_title = not ends
-                elif name in ("html", "head", "body"):
+            name, ends, block = _tag(piece) if len(piece) < 40 else _tag.__wrapped__(piece)
+            if block:
+                if at:
                     flush()
-                    if name == "html" and not ends and (g := re.search(r"\blang\s*=\s*[\"']?([\w-]+)", piece, re.I)):
-                        page.lang = g[1]
-                elif name == "hr":
-                    flush()
-                    while nodes[stack[-1]].name in ("p", "hr"):
-                        close(len(stack) - 1)
-                    nodes[stack[-1]].children += 1
-                    nodes.append(Node("hr", _sig("<hr>", nodes[stack[-1]].name), stack[-1]))
-                    stack.append(len(nodes) - 1)
-                elif ends:
-                    flush()
-                    in_link = 0
+                else:
+                    links, bold = 0, False
+                in_link = 0
+                if ends:
                     for d in range(len(stack) - 1, 0, -1):
                         if nodes[stack[d]].name == name:
                             close(d)
                             break
                 else:
-                    flush()
-                    in_link = 0
                     if name in CLOSES_P:
                         while len(stack) > 1 and nodes[stack[-1]].name == "p":
                             close(len(stack) - 1)
@@ -239,6 +227,29 @@ def parse(text: str) -> Page:
                     stack.append(len(nodes) - 1)
                     if not hidden_from and ("idden" in piece or "none" in piece) and _HIDDEN.search(piece):
                         hidden_from = len(stack)
+            elif name:
+                if name == "br":
+                    flush()
+                elif name in INLINE:
+                    if name in ("b", "strong") and not ends and not at:
+                        bold = True
+                    if name == "a":
+                        in_link = 0 if ends else 1
+                elif name in ("script", "style") or name in VOID:
+                    pass
+                elif name == "title":
+                    in_title = not ends
+                elif name in ("html", "head", "body"):
+                    flush()
+                    if name == "html" and not ends and (g := re.search(r"\blang\s*=\s*[\"']?([\w-]+)", piece, re.I)):
+                        page.lang = g[1]
+                elif name == "hr":
+                    flush()
+                    while nodes[stack[-1]].name in ("p", "hr"):
+                        close(len(stack) - 1)
+                    nodes[stack[-1]].children += 1
+                    nodes.append(Node("hr", _sig("<hr>", nodes[stack[-1]].name), stack[-1]))
+                    stack.append(len(nodes) - 1)
         if "\n" in piece:
             line += piece.count("\n")
     flush()

@@ -1,7 +1,7 @@
 import pytest
 
 from arborsig.llm.language import doubtful_labels, language_segments, main_languages, whole_sentences
-from arborsig.llm.mainbody import fingerprint, is_menu, judge_pages
+from arborsig.llm.mainbody import _WORD, Vocabulary, fingerprint, hashed, is_menu, judge_pages, words_of
 from arborsig.llm.page import declared_charset, parse, readable
 from arborsig.llm.spam import spam_pages
 from tests.llm.conftest import MAIN, page, record
@@ -82,6 +82,15 @@ def test_helpers():
     assert len(whole_sentences("One two three. “Four five six!” Seven eight nine\nTen eleven twelve? no end")) == 3
 
 
+def test_words_are_the_runs_of_letters_and_have_numbers():
+    every = "".join(f"a{chr(c)}B " for c in range(0x3100) if not 0xD800 <= c < 0xE000)
+    assert words_of(every) == _WORD.findall(every) and all(words_of(f"x{chr(c)}Yz1w") == _WORD.findall(f"x{chr(c)}Yz1w") for c in range(256))
+    v = Vocabulary(frozenset([hashed("the")]))
+    the, low, ox = v.numbers(["The", "the", "Oxen"])
+    assert v.lows[the] == v.lows[low] == low != the and v.known({the, low, ox}) == 2 and v.hashes[the] == hashed("the")
+    assert sum(map(v.shapes.__getitem__, [the, low, ox])) == 2 + (2 << 32) and not v.bounded()
+
+
 def test_a_site_s_result_does_not_depend_on_other_sites(spark, langrefs):
     from tests.llm.conftest import SCHEMA
 
