@@ -112,3 +112,38 @@ def test_copies_of_an_article_do_not_make_it_furniture(spark, langrefs):
     rows += [record(100 + i, page(i, [f"{m} It was day {i} of the month." for m in MAIN]), uri=f"http://site{i % 4}.test/{i}") for i in range(20)]
     judged = {r["row_id"]: len(r["lines"]) for r in judge_pages(spark.createDataFrame(rows, SCHEMA), langrefs).collect()}
     assert len({judged[i] for i in range(40)}) == 1 and judged[0] >= 4
+
+
+def test_words_are_cut_once_for_all_that_is_said_of_a_page(spark, records, langrefs, monkeypatch):
+    passes, real = [], type(records).mapInPandas
+    monkeypatch.setattr(type(records), "mapInPandas", lambda df, *a, **k: passes.append(1) or real(df, *a, **k))
+    assert main_languages(records.where("row_id < 24"), langrefs, spam_pages, every=False).count() == 24
+    assert len(passes) == 3  # pages are parsed, judged along with their sentences, and fused
+
+
+def test_a_cut_is_as_texts_are_one_by_one():
+    from arborsig.llm.language import Model, Reader
+    from arborsig.llm.mainbody import READ, _STOP, Unit, cut_pages, distinct_pairs, features
+
+    texts = ["One two three. “Four five six!” Seven eight nine", "Ten eleven twelve? No end", "Der Größte fällt… Müller’s Haus.” Ой, мир труд май!", "See www.one-two.test/a now. It is there.", "Odd \ud800 half \ud801 pairs stay.", "x", "¿Qué? ¡No! 1 2 3"]
+    pages = [[Unit(0, "p", t, [1], 0, False, 0) for t in own] for own in (texts, [], texts[1:2], ["lamp kettle mirror"], texts[::-1])]
+    v = Vocabulary(frozenset(map(hashed, ["one", "two", "three"])))
+    c = cut_pages(pages, v)
+    names = list(v)
+    got = [[] for _ in c.holder]
+    for k, w in zip(c.stretch.tolist(), c.words.tolist()):
+        got[k].append(names[w])
+    assert got == [words_of(s.replace("\ud800", " ").replace("\ud801", " ")) for t in c.texts for s in _STOP.split(t)]
+    assert [t for t, use in zip(c.texts, c.use) if use & READ] == [u.text for p in pages for u in p]
+    groups, words = distinct_pairs(c.stretch, c.words)
+    assert list(zip(groups.tolist(), words.tolist())) == sorted({*zip(c.stretch.tolist(), c.words.tolist())})
+    few = features(c, [len(p) for p in pages], v)
+    assert [round(2.718281828459045 ** f[0]) - 1 for f in few] == [sum(len(words_of(u.text)) for u in p) for p in pages] and few[0] == few[4]
+    model = Model([("en", "One two three. It is there."), ("de", "Der Größte fällt in Haus.")])
+    read = Reader(model, v)(c)
+    for p, total, each, tops in zip(pages, read["total"], read["each"], read["tops"]):
+        sentences = whole_sentences("\n".join(u.text for u in p))
+        rows = [sum(map(model.row, s)) for s in sentences]
+        assert len(tops) == len(sentences) and list(each) == pytest.approx([x for r in rows for x in r])
+        assert list(total) == pytest.approx(list(sum(rows) if rows else sum(map(model.row, [w for u in p for w in words_of(u.text)]), model.row("X"))))
+    assert list(read["said"]) == [True, False, True, True, True]
