@@ -67,8 +67,8 @@ _ADDRESS = re.compile(r"\b(?:https?://|www\.)\S+")
 _ROWS = re.compile("[|;#]")
 _STOP = re.compile(r"[.!?…][\"”»“'’)\]]*\s+")
 
-#: Pages whose words are cut and counted together.
-TOGETHER = 1000
+#: So many pages' words are cut and counted together at most, and of pages of so many bytes in all, unless a page alone has more.
+TOGETHER, TOGETHER_BYTES = 1000, 4_000_000
 #: What stands between texts and between stretches of text while words are cut, and stands for these characters in a text.
 _TEXT, _STRETCH, _NEITHER = "\ud800", "\ud801", "\ue000"
 #: By character: whether it is a letter as in ``_WORD``, or stands between texts or stretches.
@@ -169,7 +169,7 @@ def parse_pages(records: DataFrame, samples: frozenset[int] = frozenset()) -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = Vocabulary(samples)
-        for b in in_parts(batches):
+        for b in in_parts(batches, "content"):
             out, parsed = [], []
             for row_id, uri, kind, label, content in zip(b["row_id"], b["uri"], b["type"], b["label"], b["content"]):
                 host = host_of(uri)
@@ -315,10 +315,17 @@ class Vocabulary(dict):
         return sum(map(self.marks.__getitem__, numbers))
 
 
-def in_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def in_parts(batches: Iterator[pd.DataFrame], sized: str) -> Iterator[pd.DataFrame]:
+    """The rows of batches in parts that bound what is held at once, by the bytes in the column ``sized``."""
     for b in batches:
-        for s in range(0, len(b), TOGETHER):
-            yield b.iloc[s : s + TOGETHER]
+        start = held = 0
+        for k, size in enumerate(map(len, b[sized])):
+            if k > start and (k - start >= TOGETHER or held + size > TOGETHER_BYTES):
+                yield b.iloc[start:k]
+                start, held = k, 0
+            held += size
+        if start < len(b):
+            yield b.iloc[start:]
 
 
 def cut(texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -498,7 +505,7 @@ def judge_pages(records: DataFrame, langrefs: DataFrame, with_text: bool = False
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary, weights = Vocabulary(shared.value), {}
         read = reader[1](vocabulary) if reader else None
-        for b in in_parts(batches):
+        for b in in_parts(batches, "blob"):
             out, bodies, sizes = [], [], []
             if vocabulary.bounded() and reader:
                 read = reader[1](vocabulary)

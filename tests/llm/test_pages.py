@@ -147,3 +147,14 @@ def test_a_cut_is_as_texts_are_one_by_one():
         assert len(tops) == len(sentences) and list(each) == pytest.approx([x for r in rows for x in r])
         assert list(total) == pytest.approx(list(sum(rows) if rows else sum(map(model.row, [w for u in p for w in words_of(u.text)]), model.row("X"))))
     assert list(read["said"]) == [True, False, True, True, True]
+
+
+def test_large_pages_are_not_held_together():
+    import pandas as pd
+
+    from arborsig.llm.mainbody import TOGETHER, TOGETHER_BYTES, in_parts
+
+    sizes = [1] * (2 * TOGETHER + 1) + [TOGETHER_BYTES // 2] * 5 + [2 * TOGETHER_BYTES, 1]
+    parts = list(in_parts(iter([pd.DataFrame({"n": range(len(sizes)), "x": [b"a" * n for n in sizes]}), pd.DataFrame({"n": [], "x": []})]), "x"))
+    assert [n for p in parts for n in p["n"]] == list(range(len(sizes)))
+    assert all(len(p) <= TOGETHER and (len(p) == 1 or sum(map(len, p["x"])) <= TOGETHER_BYTES) for p in parts)
